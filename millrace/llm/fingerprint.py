@@ -4,9 +4,9 @@ A text's terms are its words, a term's weight how often it occurs. For every sam
 r and c from Gamma(2, 1) and b from the unit interval, all from a hash of (term, k); with weight w
 it is sampled at level t = floor(ln w / r + b) and its value is c / exp(r (t - b + 1)). The term of
 least value is the sample. Two texts agree in a sample with a probability equal to their
-generalised Jaccard similarity, sum of least weights over sum of greatest. The logarithm of the
-least value stands for (term, t), so a sample is one double and taking it is a plain ``min``.
-Both gammas come from quantile tables built from the distribution function.
+generalised Jaccard similarity, sum of least weights over sum of greatest. The least value itself
+stands for (term, t), so a sample is one double and taking it is a plain ``min``. A Gamma(2, 1) is
+minus the logarithm of a product of two uniforms.
 
 The next document in falling doc_id is found in id ranges: every range gets, as one extra row, the
 first document of the range below, so no range looks outside itself.
@@ -15,7 +15,7 @@ first document of the range below, so no range looks outside itself.
 from __future__ import annotations
 
 import math
-from functools import cache, reduce
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -23,36 +23,23 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of
 
-SAMPLES = 64
-#: Entries of the gamma quantile tables; a power of two.
-QUANTILES = 1024
+SAMPLES = 48
 RANGES_PER_PARTITION = 4
 
 
-@cache
-def gamma_quantiles(n: int = QUANTILES) -> np.ndarray:
-    """Midpoint quantiles of Gamma(2, 1), whose distribution function is 1 - (1 + x) exp(-x), by bisection."""
-    p = (np.arange(n) + 0.5) / n
-    lo, hi = np.zeros(n), np.full(n, 60.0)
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        below = 1 - (1 + mid) * np.exp(-mid) < p
-        lo, hi = np.where(below, mid, lo), np.where(below, hi, mid)
-    return (lo + hi) / 2
-
-
 def words_of(text: Column) -> Column:
     """Hashes of the text's words, sorted."""
     return F.sort_array(F.transform(F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w)))
 
 
 def sample_value(term: Column, log_weight: Column, k: int) -> Column:
-    """ln of the term's value in sample k."""
+    """The term's value in sample k. The 64 bits of one hash give the four uniforms of both gammas and b."""
     x = F.xxhash64(term, F.lit(k))
-    pick = lambda table, shift: F.get(F.lit(table), F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(QUANTILES - 1)).cast("int"))
-    r, log_c = pick(gamma_quantiles(), 0), pick(np.log(gamma_quantiles()), 10)
-    b = F.shiftrightunsigned(x, 20).bitwiseAND(F.lit((1 << 24) - 1)).cast("double") / float(1 << 24)
-    return log_c - r * (F.floor(log_weight / r + b).cast("double") - b + 1.0)
+    uniform = lambda shift: F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(8191)).cast("double") + 0.5
+    scale = F.lit(2.0**-26)
+    r, c = -F.log(uniform(0) * uniform(13) * scale), -F.log(uniform(26) * uniform(39) * scale)
+    b = (F.shiftrightunsigned(x, 52).cast("double") + 0.5) * F.lit(2.0**-12)
+    return c * F.exp(-r * (F.floor(log_weight / r + b).cast("double") - b + 1.0))
 
 
 def terms(df: DataFrame, text: str, *keep: str) -> DataFrame:
