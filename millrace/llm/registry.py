@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, fingerprint, html_text, mixing, packing, quality, secrets, toxicity
+from millrace.llm import exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity
 from millrace.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,8 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_fingerprint")
 def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_join", ngram_join.ORACLE)
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
