@@ -131,6 +131,12 @@ def dedup(docs: DataFrame, in_batch: Column | None = None, digest_chars: int = 6
     )
 
 
+def unique(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they are; rows that repeat doc_id and text leave one."""
+    stay = dedup(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 ORACLE = """
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY body ORDER BY chars DESC, doc_id) AS keep_id,

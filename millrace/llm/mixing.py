@@ -22,10 +22,14 @@ SHARE = 1.5
 MOST = 2
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text), key (the order in the source)."""
+#: Sources whose totals are broadcast; more of them are joined by shuffle.
+BROADCAST_SOURCES = 100_000
+
+
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size (words of the text), key (the order in the source), and a struct ``row`` of ``keep`` if given."""
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(NOT_SPACE)).cast("long").alias("size"), key.alias("key"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.regexp_count(text_of(), F.lit(NOT_SPACE)).cast("long").alias("size"), key.alias("key"), *([F.struct(*keep).alias("row")] if keep else []))
 
 
 def cycle(values: tuple, rank: Column) -> Column:
@@ -59,6 +63,30 @@ def invert(q: Column, a: Column) -> Column:
     return 2.0 * q / (b + F.sqrt(F.greatest(b * b - 4.0 * a * q, F.lit(0.0))))
 
 
+def placed(docs: DataFrame, *keep: str) -> DataFrame:
+    """Every row with its source's totals, the words taken of it, and both copies' positions; ``keep`` are carried in ``row``."""
+    rows = materialize(sizes(docs), "sizes")
+    per = materialize(targets(rows).withColumn("parts", F.ceil(F.sqrt(F.col("rows").cast("double")))).withColumnRenamed("source", "of"), "targets")
+    small = per.count() <= BROADCAST_SOURCES
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("parts")).cast("long")
+
+    def enrich(x: DataFrame) -> DataFrame:
+        return x.join(F.broadcast(per) if small else per, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("part", part)
+
+    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = enrich(rows).groupBy("source", "part").agg(F.sum("size").alias("words")).select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("words").over(running), F.lit(0)).alias("ahead"))
+    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    out = enrich(sizes(docs, *keep) if keep else rows).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    out = out.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
+    first = F.col("ahead") + F.col("within")
+    demand = F.floor("target")
+    took = lambda start: F.greatest(F.lit(0), F.least(demand - start, F.col("size")))
+    out = out.withColumn("first", first).withColumn("second", F.col("source_size") + first)
+    out = out.withColumn("taken_1", took(F.col("first"))).withColumn("taken_2", took(F.col("second")))
+    at = lambda start, taken: F.when(taken > 0, F.round(invert(start / F.col("target"), F.col("slope")), 9))
+    return out.withColumn("position", at(F.col("first"), F.col("taken_1"))).withColumn("repeat_position", at(F.col("second"), F.col("taken_2")))
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken, position, repeat_position.
 
@@ -68,28 +96,28 @@ def mix(docs: DataFrame) -> DataFrame:
     in order; repeated doc_ids tie by size and are taken as rows of their own; an empty table gives no rows; other
     columns are ignored.
     """
-    rows = materialize(sizes(docs), "sizes")
-    per = targets(rows).withColumn("parts", F.ceil(F.sqrt(F.col("rows").cast("double"))))
-    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.col("parts")).cast("long")
-    joined = rows.alias("r").join(per.withColumnRenamed("source", "of"), F.col("r.source").eqNullSafe(F.col("of"))).drop("of").withColumn("part", part)
-    joined = materialize(joined, "parts")
-    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = joined.groupBy("source", "part").agg(F.sum("size").alias("words")).select(F.col("source").alias("of"), F.col("part").alias("at"), F.coalesce(F.sum("words").over(running), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("source", "part").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = joined.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(starts, F.col("source").eqNullSafe(F.col("of")) & (F.col("part") == F.col("at")))
-    first = F.col("ahead") + F.col("within")
-    demand = F.floor("target")
-    took = lambda start: F.greatest(F.lit(0), F.least(demand - start, F.col("size")))
-    placed = placed.withColumn("first", first).withColumn("second", F.col("source_size") + first)
-    placed = placed.withColumn("taken_1", took(F.col("first"))).withColumn("taken_2", took(F.col("second")))
-    at = lambda start, taken: F.when(taken > 0, F.round(invert(start / F.col("target"), F.col("slope")), 9))
-    out = placed.select(
-        "doc_id", "size", "source_size", "target", (F.col("taken_1") + F.col("taken_2")).alias("taken"), at(F.col("first"), F.col("taken_1")).alias("position"), at(F.col("second"), F.col("taken_2")).alias("repeat_position")
-    )
+    out = placed(docs).select("doc_id", "size", "source_size", "target", (F.col("taken_1") + F.col("taken_2")).alias("taken"), "position", "repeat_position")
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
+def mixture(docs: DataFrame) -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row per copy taken, in training order.
+
+    A copy taken in part keeps its first words, joined by single blanks, and its own n_chars where there
+    is that column. Documents without words are taken by no source and stay out.
+    """
+    names = docs.columns
+    taken = placed(docs, *names)
+    copies = F.array(F.struct(F.col("position").alias("p"), F.col("taken_1").alias("n")), F.struct(F.col("repeat_position").alias("p"), F.col("taken_2").alias("n")))
+    rows = taken.select("row", "size", F.inline(F.filter(copies, lambda c: c["n"] > 0)))
+    rows = rows.repartitionByRange(F.col("p"), F.col("row.doc_id")).sortWithinPartitions("p", "row.doc_id")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(NOT_SPACE), F.lit(0)), F.lit(1), F.col("n").cast("int")), " ")
+    text = F.when(F.col("n") == F.col("size"), F.col("row.text")).otherwise(cut)
+    out = rows.withColumn("_text", text)
+    new = {"text": F.col("_text"), "n_chars": F.length("_text").cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return out.select(*[(new.get(c) if new.get(c) is not None else F.col("row")[c]).alias(c) for c in names])
+
+
 ORACLE = """
 WITH rows AS (
   SELECT doc_id, source, md5(coalesce(doc_id::VARCHAR, '')) AS key,

@@ -253,6 +253,12 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     return named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, that stand for their component: those of its smallest doc_id."""
+    stay = join(docs, n, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("stays")).distinct()
+    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+
+
 ORACLE = """
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w

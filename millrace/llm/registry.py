@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity
+import corpus_pipeline
+from millrace.llm import exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter
 from millrace.llm.common import table
+from millrace.llm.paths import tokenizer_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -25,12 +27,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
 @query("op5_packing")
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -74,3 +70,13 @@ def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ngram_join", ngram_join.ORACLE)
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+@query("op7_url_filter", url_filter.ORACLE)
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_pages(table(spark, sf_dir, "pages"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
