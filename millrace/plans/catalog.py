@@ -1,10 +1,16 @@
-"""Registry of the library's queries and their DuckDB twins."""
+"""Registry of the library's queries and their DuckDB twins.
+
+Each module of ``millrace.plans`` registers queries named after the operators they apply; importing this
+module loads them all.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
+
+from millrace.plans.registry import ORACLE_SQL, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+for _name in ("text", "dedup", "retrieval", "web", "telemetry", "graph", "relational"):
+    import_module(f"millrace.plans.{_name}_queries")
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
