@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 TOKENS = r"[a-z0-9一-鿿]+"
 BANDS, BAND_BITS = 4, 16
@@ -38,7 +39,7 @@ def tokens(text: Column, least: int = 2) -> Column:
     return F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TOKENS), F.lit(0)), lambda t: F.length(t) >= least)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def simhash(words: pd.Series) -> pd.Series:
     """64-bit SimHash of token lists: bit i is set if more token hashes have it than not. No tokens give 0."""
 
