@@ -13,7 +13,7 @@ ENTITY_PATTERNS = {
     "url": r"https?://[^\s<>\"']+",
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "number": r"[0-9]+(?:\.[0-9]+)?",
-    "name": r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)+\b",
+    "name": r"[A-Z][a-z]+(?: [A-Z][a-z]+)+",
 }
 
 
