@@ -32,6 +32,8 @@ from millrace.llm.components import components
 SHINGLE, PERCENT = 4, 85
 #: Ratio of a band's ends, share of a document's weakest segments that its keys leave out, members of a tile's block.
 RATIO, WEAKEST, BLOCK = 1.6, 0.08, 512
+#: Members up to which a tile's pairs are listed before they are screened.
+SMALL = 16
 _U = np.uint64
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -133,7 +135,7 @@ def texts(docs: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, band, bits in its own band and the next (null if not keyed there), bit counts, marks (the sorted set)."""
+    """doc_id, size, band, bits in its own band and the next (empty if not keyed there), bit counts, and the text, which packs tighter than its hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -144,11 +146,11 @@ def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
             nxt = [bitmap(s, bands.cut(b[1])[3]) if len(b) > 1 else np.zeros(0, np.int64) for s, b in zip(sets, of)]
             ones = lambda maps: pa.array([int(np.bitwise_count(m.view(_U)).sum()) for m in maps], pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in of], pa.int32()), _lists(own), _lists(nxt), ones(own), ones(nxt), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "size", "band", "own", "next", "own_ones", "next_ones", "marks"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in of], pa.int32()), _lists(own), _lists(nxt), ones(own), ones(nxt), batch.column(1)],
+                names=["doc_id", "size", "band", "own", "next", "own_ones", "next_ones", "text"],
             )
 
-    return texts(docs).mapInArrow(run, "doc_id long, size long, band int, own array<long>, next array<long>, own_ones int, next_ones int, marks binary")
+    return texts(docs).mapInArrow(run, "doc_id long, size long, band int, own array<long>, next array<long>, own_ones int, next_ones int, text binary")
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -167,26 +169,29 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return near & enough(F.least(c(a, "size"), c(b, "size"))) & mapped
 
 
-def intersect(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def intersect(pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by exact intersection of sorted arrays."""
-    marks = sets.select("doc_id", "marks")
-    rows = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("mb")), "b")
+    held = sets.select("doc_id", "text")
+    rows = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, x = None, np.zeros(0, _U)
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, _U), np.frombuffer(y, _U)
+            for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if left != last:  # pairs come sorted by a
+                    last, x = left, shingles(left, n)
+                y = shingles(right, n)
                 both = len(x) + len(y) - len(np.union1d(x, y))
                 keep.append((100 + percent) * both >= percent * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return rows.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The distinct pairs that their bitmaps leave possible."""
-    maps = sets.drop("marks")
+    maps = sets.drop("text")
     rows = pairs.distinct().alias("p").join(maps.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(maps.alias("y"), F.col("p.b") == F.col("y.doc_id"))
     return rows.where(may_link("x", "y", percent)).select("p.a", "p.b")
 
@@ -201,18 +206,29 @@ def tiles(keys: DataFrame) -> DataFrame:
 
 
 def across(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one tile that bitmaps leave possible, by blocks of a tile."""
+    """Pairs of different components in one tile that bitmaps leave possible.
+
+    Members of a small tile are paired by id and size, and each pair is then screened once, however many tiles
+    it shares. Large tiles are joined block by block with their bitmaps at hand, so only what passes is put out.
+    """
     marked = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    held = marked.join(mixed, "key").join(sets.drop("marks"), "doc_id")
+    held = materialize(marked.join(mixed, "key").select("key", "doc_id", "component", "members", "size"), "mixed")
+    few = held.where(F.col("members") <= SMALL)
+    x, y = few.alias("x"), few.alias("y")
+    apart = (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component"))
+    sized = (100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size"))
+    small = screened(x.join(y, apart & sized).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")), sets, percent)
+
+    many = held.where(F.col("members") > SMALL).drop("size").join(sets.drop("text"), "doc_id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    a, b = held.where("block = low").alias("x"), held.where("block = high").alias("y")
+    many = many.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    a, b = many.where("block = low").alias("x"), many.where("block = high").alias("y")
     same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
     ordered = (F.col("x.low") != F.col("x.high")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    found = a.join(b, same & ordered & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))
-    return found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    large = a.join(b, same & ordered & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))
+    return small.unionByName(large.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"))).distinct()
 
 
 def _sweep(df: DataFrame) -> None:
@@ -234,7 +250,7 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     classes = base.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
     named = materialize(base.select("doc_id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").select("doc_id", "n_shingles", "rep"), "classes")
     reps = named.where("doc_id = rep").select("doc_id").distinct()
-    keys = base.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
+    keys = base.select("doc_id", "n_shingles", "keys").join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key"))
     rows = materialize(tiles(keys), "tiles")
     discard(base)
     _sweep(docs)
@@ -243,12 +259,16 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     _sweep(docs)
     pivots = rows.groupBy("doc_id").agg(F.min("first").alias("first"), F.min(F.struct(F.xxhash64("second"), "second"))["second"].alias("second"))
     stars = pivots.select(F.col("doc_id").alias("b"), F.col("first").alias("a")).unionByName(pivots.select(F.col("doc_id").alias("b"), F.col("second").alias("a"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = materialize(intersect(screened(stars, sets, percent), sets, percent), "links")
+    links = materialize(intersect(screened(stars, sets, percent), sets, n, percent), "links")
     labels = components(links)
-    more = materialize(intersect(across(rows, sets, labels, percent), sets, percent), "links")
+    _sweep(docs)
+    candidates = materialize(across(rows, sets, labels, percent), "candidates")
+    discard(rows)
+    _sweep(docs)
+    more = materialize(intersect(candidates, sets, n, percent), "links")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
-    discard(rows, sets)
+    discard(sets, candidates)
     _sweep(docs)
     return named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
