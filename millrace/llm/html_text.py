@@ -74,6 +74,7 @@ class Block:
     """Text between two block tags, with its region's kind, its words inside and outside links and the tags before it."""
 
     kind: str
+    nested: bool = False  # boilerplate or text inside a content container
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     words: int = 0
@@ -84,7 +85,7 @@ def blocks(page: str) -> list[Block]:
     """The page's blocks in order. Comments, declarations, scripts, styles and other raw elements hold no text."""
     out = [Block("plain")]
     stack: list[tuple[str, str | None]] = []
-    kind, links, at = "plain", 0, 0
+    kind, nested, links, at = "plain", False, 0, 0
     size = len(page)
 
     def text(piece: str) -> None:
@@ -127,25 +128,25 @@ def blocks(page: str) -> list[Block]:
             if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 stack.pop()
             stack.append((tag, kind_of(tag, match[3])))
-        kind = region(stack)
+        kind, nested = region(stack)
         if tag != "span":
             links = 0
-            out.append(Block(kind))
+            out.append(Block(kind, nested))
             out[-1].tags.append(f"/{tag}" if closing else tag)
         elif kind != out[-1].kind:
-            out.append(Block(kind))
+            out.append(Block(kind, nested))
     return out
 
 
-def region(stack: list[tuple[str, str | None]]) -> str:
-    """The outermost boilerplate kind on the stack, else content, else plain. A header inside an article holds its title."""
+def region(stack: list[tuple[str, str | None]]) -> tuple[str, bool]:
+    """The outermost boilerplate kind on the stack, else content, else plain; and whether a content container holds it. A header inside an article holds its title."""
     inside = False
     for tag, kind in stack:
         if kind == "content":
             inside = True
         elif kind and not (inside and tag == "header"):
-            return kind
-    return "content" if inside else "plain"
+            return kind, inside
+    return ("content" if inside else "plain"), inside
 
 
 @dataclass(frozen=True)
@@ -200,14 +201,15 @@ def main_text(page: str, weights: Weights) -> str:
     """The page's main text: the region's content blocks in page order, one a line."""
     parsed = blocks(page)
     if any(b.kind == "content" for b in parsed):  # a marked container leaves what is outside it as frame
-        parsed = [Block("frame", b.parts, b.linked, b.words, b.tags) if b.kind == "plain" else b for b in parsed]
+        parsed = [Block("frame", False, b.parts, b.linked, b.words, b.tags) if b.kind == "plain" else b for b in parsed]
     scores, worth = [], []
     for block in parsed:
         kind = "link" if block.words and block.kind == "plain" and 2 * block.linked > block.words else block.kind
         word = weights.words.get(kind, -1.0)
         worth.append(word)
-        # a long run of boilerplate inside an article must not cost the article's other half
-        scores.append(sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.tags) + max(word * block.words, -6.0))
+        # boilerplate inside an article must not cost the article's other half: it is left out all the same
+        tags = sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.tags)
+        scores.append(tags / 8 + max(word * block.words, -0.25) if block.nested else tags + max(word * block.words, -3.0))
     begin, end = best(scores)
     lines = (clean(b) for b, w in zip(parsed[begin:end], worth[begin:end]) if w > 0 and b.words)
     return "\n".join(line for line in lines if line)
