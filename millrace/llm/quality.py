@@ -179,7 +179,7 @@ def held_out() -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Net:
     """Train on the rows outside the held-out fifth; with labels of one class or none, every text scores alike."""
-    rows = sample(docs, labels, "quality", ~held_out(), most)
+    rows = sample(docs, labels, "quality", ~held_out(), most, most)
     if len({x[2] for x in rows}) < 2:
         net = new_net()
         net.out[:] = 0
