@@ -17,6 +17,7 @@ component need not be listed.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -232,9 +233,11 @@ def across(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) ->
 
 
 def _sweep(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    """Let Spark drop the shuffle files of plans that are no longer held: once the driver has collected them, its cleaner deletes the files."""
+    for _ in range(2):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -248,9 +251,12 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     """
     base = materialize(keyed(docs, n, percent), "keyed")
     classes = base.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    named = materialize(base.select("doc_id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").select("doc_id", "n_shingles", "rep"), "classes")
-    reps = named.where("doc_id = rep").select("doc_id").distinct()
-    keys = base.select("doc_id", "n_shingles", "keys").join(reps, "doc_id", "left_semi").select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key"))
+    named = materialize(base.select("doc_id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left"), "classes")
+    # a written table of few others is broadcast by its size, and then the keys stay where they are
+    others = materialize(named.where("rep is null or not doc_id <=> rep").select("doc_id", "lo", "hi").distinct(), "others")
+    same = (F.col("k.doc_id").eqNullSafe(F.col("o.doc_id"))) & (F.col("k.lo") == F.col("o.lo")) & (F.col("k.hi") == F.col("o.hi"))
+    alone = base.alias("k").join(others.alias("o"), same, "left_anti").where("doc_id is not null").select("doc_id", "n_shingles", "lo", "hi", "keys")
+    keys = alone.select("doc_id", F.col("n_shingles").cast("int").alias("size"), F.explode("keys").alias("key"))
     rows = materialize(tiles(keys), "tiles")
     discard(base)
     _sweep(docs)
@@ -259,7 +265,11 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     _sweep(docs)
     pivots = rows.groupBy("doc_id").agg(F.min("first").alias("first"), F.min(F.struct(F.xxhash64("second"), "second"))["second"].alias("second"))
     stars = pivots.select(F.col("doc_id").alias("b"), F.col("first").alias("a")).unionByName(pivots.select(F.col("doc_id").alias("b"), F.col("second").alias("a"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = materialize(intersect(screened(stars, sets, percent), sets, n, percent), "links")
+    likely = materialize(screened(stars, sets, percent), "likely")
+    _sweep(docs)
+    links = materialize(intersect(likely, sets, n, percent), "links")
+    discard(likely)
+    _sweep(docs)
     labels = components(links)
     _sweep(docs)
     candidates = materialize(across(rows, sets, labels, percent), "candidates")
