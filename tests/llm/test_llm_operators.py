@@ -142,7 +142,6 @@ def test_ngram_join_finds_every_link(spark, n, percent):
 
 def test_large_tiles_are_joined_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
-    monkeypatch.setattr(ngram_join, "SMALL", 2)
     r = np.random.default_rng(9)
     base = [f"b{i}" for i in range(120)]
     rows = []
