@@ -1,8 +1,9 @@
 """Main-text extraction as a maximum-scoring subsequence.
 
 A page becomes one sequence of words and tags. Words score positive where labelled pages hold
-content and negative where they hold menus, notices and the like; tags score negative. The weights
-are log-odds counted over labelled pages. One linear scan finds the contiguous region with the best
+content and negative where they hold menus, notices and the like, each by its region's kind and by itself; tags score negative. The
+weights are log-odds counted over labelled pages. A content hint in a class, id or role speaks for its
+own blocks and against no others. One linear scan finds the contiguous region with the best
 total; the blocks inside it whose own words score positive are the text.
 """
 
@@ -45,6 +46,7 @@ _HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
 KINDS = ("plain", "link", "content", *dict.fromkeys(BOILERPLATE_TAGS.values()), "ad", "comments", "social", "hidden")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TERM = re.compile(r"\w+")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 
 
@@ -151,20 +153,28 @@ def region(stack: list[tuple[str, str | None]]) -> tuple[str, bool]:
 
 @dataclass(frozen=True)
 class Weights:
-    """Scores of a word by its region's kind, and of a tag by its name."""
+    """Scores of a word by its region's kind and by itself, and of a tag by its name."""
 
     words: dict[str, float]
     tags: dict[str, float]
     tag: float
+    terms: dict[str, float] = field(default_factory=dict)
 
 
-def learn(labelled: list[tuple[str, str]], smooth: float = 1.0, tag_least: float = -3.0) -> Weights:
+def terms_of(line: str) -> list[str]:
+    return _TERM.findall(line.lower())
+
+
+def learn(labelled: list[tuple[str, str]], smooth: float = 1.0, tag_least: float = -3.0, term_most: float = 1.0) -> Weights:
     """Log-odds of content over boilerplate from (page, its main text).
 
     A word's kind is weighed by how many of its words are in the main text; a tag by how many of the
-    blocks it opens are, shifted so that no tag scores above a small loss.
+    blocks it opens are, shifted so that no tag scores above a small loss. A word itself is weighed by
+    its share of the main text's words over its share of the others, if two different blocks hold it;
+    words never met weigh nothing.
     """
-    good, bad, tag_good, tag_bad = Counter(), Counter(), Counter(), Counter()
+    good, bad, tag_good, tag_bad, term_good, term_bad = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
+    held: dict[str, set[str]] = {}
     for page, main in labelled:
         lines = Counter(main.split("\n"))
         for block in blocks(page):
@@ -175,10 +185,16 @@ def learn(labelled: list[tuple[str, str]], smooth: float = 1.0, tag_least: float
             lines[line] -= hit
             (good if hit else bad)["link" if 2 * block.linked > block.words else block.kind] += block.words
             (tag_good if hit else tag_bad).update(t.lstrip("/") for t in block.tags)
+            (term_good if hit else term_bad).update(terms_of(line))
+            for t in set(terms_of(line)):
+                held.setdefault(t, set()).add(line)
     odds = lambda a, b: math.log((a + smooth) / (b + smooth))
     words = {k: max(-2.0, min(2.0, odds(good[k], bad[k]))) for k in {*good, *bad}}
     tags = {t: max(tag_least, min(-0.05, odds(tag_good[t], tag_bad[t]) - 1.0)) / 4 for t in {*tag_good, *tag_bad}}
-    return Weights(words, tags, -0.25)
+    size = smooth * len(held)
+    base = odds(term_good.total() + size, term_bad.total() + size)
+    terms = {t: max(-term_most, min(term_most, odds(term_good[t], term_bad[t]) - base)) for t, lines in held.items() if len(lines) > 1}
+    return Weights(words, tags, -0.25, terms)
 
 
 def clean(block: Block) -> str:
@@ -200,19 +216,20 @@ def best(scores: list[float]) -> tuple[int, int]:
 def main_text(page: str, weights: Weights) -> str:
     """The page's main text: the region's content blocks in page order, one a line."""
     parsed = blocks(page)
-    if any(b.kind == "content" for b in parsed):  # a marked container leaves what is outside it as frame
-        parsed = [Block("frame", False, b.parts, b.linked, b.words, b.tags) if b.kind == "plain" else b for b in parsed]
+    lines = [clean(b) if b.words else "" for b in parsed]
     scores, worth = [], []
-    for block in parsed:
+    for block, line in zip(parsed, lines):
         kind = "link" if block.words and block.kind == "plain" and 2 * block.linked > block.words else block.kind
         word = weights.words.get(kind, -1.0)
+        if kind in ("plain", "content", "link"):  # named boilerplate stays what it is
+            terms = terms_of(line)
+            word += sum(weights.terms.get(t, 0.0) for t in terms) / max(1, len(terms))
         worth.append(word)
         # boilerplate inside an article must not cost the article's other half: it is left out all the same
         tags = sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.tags)
         scores.append(tags / 8 + max(word * block.words, -0.25) if block.nested else tags + max(word * block.words, -3.0))
     begin, end = best(scores)
-    lines = (clean(b) for b, w in zip(parsed[begin:end], worth[begin:end]) if w > 0 and b.words)
-    return "\n".join(line for line in lines if line)
+    return "\n".join(line for line, w in zip(lines[begin:end], worth[begin:end]) if w > 0 and line)
 
 
 def labelled_pages() -> list[tuple[str, str]]:

@@ -375,6 +375,24 @@ def test_main_text(spark, page, text):
     assert (row.text, row.n_chars) == (text, len(text))
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div><h1 class="post-title">T</h1><p>A</p><p>B</p></div>', "T\nA\nB"),
+        ('<p class="text">A</p><p>B</p><p>C</p><footer>x y</footer>', "A\nB\nC"),
+        ('<nav><a href="/">Home</a></nav><h1>T</h1><span class="entry-date">May 2</span><p>A b c</p><div class="story-meta">by X</div><p>D e</p>', "T\nMay 2\nA b c\nby X\nD e"),
+    ],
+)
+def test_a_content_hint_does_not_veto_other_blocks(page, text):
+    assert html_text.main_text(page, html_text.learn(html_text.labelled_pages())) == text
+
+
+def test_words_decide_where_regions_do_not():
+    good, bad = "river stone walks slowly home", "subscribe cookies newsletter offers now"
+    labelled = [(f"<p>{good} {i}</p><p>{bad} {i}</p><p>{bad} again {i}</p>", f"{good} {i}") for i in range(6)]
+    assert html_text.main_text("<p>cookies newsletter</p><p>river walks slowly</p>", html_text.learn(labelled)) == "river walks slowly"
+
+
 def test_best_range_is_the_maximum():
     r = np.random.default_rng(1)
     for _ in range(200):
