@@ -4,7 +4,8 @@ A word's embedding is the sum of the hashed vectors of the word, its first four
 its last three. Filters of several widths slide over the words of the whole text; each keeps its
 largest value, and a logistic layer turns these into a score. Since a filter is linear in each of
 its words, a word's share in every filter place is computed once and looked up afterwards. Texts
-alone are scored; thresholds for decisions are calibrated by language on held-back training rows.
+alone are scored; thresholds for decisions are calibrated by language on all labelled rows outside
+the held-out quarter that were not trained on, counted in Spark.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: At most so many toxic rows, and twice as many others, are read for training.
 SAMPLE = 2000
 DECISION = 0.3
+#: Thresholds that a language may take.
+GRID = np.linspace(0.02, 0.98, 49)
 _STRIP = b".,;:!?\"'()[]{}*#$%&"
 #: Longest stretch of words scored at once; stretches overlap by the widest filter.
 STRETCH = 200_000
@@ -45,7 +48,7 @@ class Net:
     bias: np.ndarray
     out: np.ndarray
     out_bias: float
-    thresholds: dict[str, float] = field(default_factory=dict)
+    thresholds: dict[str | None, float] = field(default_factory=dict)
 
     def shares(self, ids: np.ndarray) -> np.ndarray:
         """What words (rows of four buckets) add to each filter at each of its places."""
@@ -194,23 +197,66 @@ def train(texts: list[bytes], labels: np.ndarray, steps: int = 1000, rate: float
     return net
 
 
-def calibrated(scores_: np.ndarray, labels: np.ndarray, langs: list[str | None], default: float = DECISION, least: int = 20) -> dict[str, float]:
-    """Per language the threshold of best F1 on held-back rows, the middle of equals; languages with few rows keep the default."""
+def calibrated(counts: dict[str | None, np.ndarray], totals: dict[str | None, np.ndarray], default: float = DECISION, prior: float = 20.0) -> dict[str | None, float]:
+    """Per language the threshold of best F1, the one of equals that is nearest to ``default``.
+
+    ``counts[lang][label, k]`` are rows not trained on whose score reaches k thresholds of GRID;
+    ``totals[lang][label]`` are all labelled rows, so that each class weighs as much as it does in the
+    labels whatever the share trained on. A language's score distribution of a class is drawn to that of
+    all languages by ``prior`` rows, so small languages are calibrated too; one without rows of a class
+    takes the threshold of all. Without rows of both classes nothing is calibrated.
+    """
+    whole = sum(counts.values(), np.zeros((2, len(GRID) + 1)))
+    if not whole.sum(1).all():
+        return {}
+    shape = whole / whole.sum(1, keepdims=True)
+
+    def best(mass: np.ndarray) -> float:
+        reached = mass[:, ::-1].cumsum(1)[:, ::-1][:, 1:]  # rows at or above each threshold
+        f1 = 2 * reached[1] / np.maximum(reached.sum(0) + mass[1].sum(), 1e-12)
+        top = GRID[f1 >= f1.max() - 1e-9]
+        return float(top[np.abs(top - default).argmin()])
+
+    common = best(shape * sum(totals.values())[:, None])
     out = {}
-    for lang in {x for x in langs if x is not None}:
-        mine = np.array([x == lang for x in langs])
-        y, s = labels[mine], scores_[mine]
-        if y.sum() < least or (1 - y).sum() < least:
-            continue
-        grid = np.linspace(0.02, 0.98, 49)
-        f1 = np.array([2 * ((s >= t) & (y == 1)).sum() / max(1, (s >= t).sum() + y.sum()) for t in grid])
-        top = grid[f1 >= f1.max() - 1e-9]
-        out[lang] = float(top[np.abs(top - default).argmin()])
+    for lang, total in totals.items():
+        own = counts.get(lang, np.zeros_like(whole))
+        out[lang] = best(total[:, None] * (own + prior * shape) / (own.sum(1, keepdims=True) + prior)) if total.all() else common
     return out
 
 
+def score_counts(docs: DataFrame, labels: DataFrame, net: Net, trained: list) -> tuple[dict[str | None, np.ndarray], dict[str | None, np.ndarray]]:
+    """What ``calibrated`` reads, over every labelled row outside the held-out quarter. Only ids, languages and places on GRID are shuffled; ``trained`` is bounded by the sample."""
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(net)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(shared.value)
+        for batch in batches:
+            place = np.searchsorted(GRID, scores(batch.column(2).to_pylist(), lookup), side="right")
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place.astype(np.int32))], names=["doc_id", "lang", "place"])
+
+    usable = ~held_out() & F.col("doc_id").isNotNull()
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    placed = docs.where(usable).select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text_of().cast("binary").alias("text")).mapInArrow(run, "doc_id long, lang string, place int")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where(usable & F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.max("label").alias("label"))
+    seen = F.broadcast(spark.createDataFrame([(int(i),) for i in set(trained)], "doc_id long").withColumn("trained", F.lit(True)))
+    rows = placed.join(known, "doc_id").join(seen, "doc_id", "left").groupBy("lang", "label", "place", F.coalesce("trained", F.lit(False)).alias("trained")).count().collect()
+    counts, totals = {}, {}
+    for r in rows:
+        totals.setdefault(r.lang, np.zeros(2))[r.label] += r["count"]
+        if not r.trained:
+            counts.setdefault(r.lang, np.zeros((2, len(GRID) + 1)))[r.label, r.place] += r["count"]
+    return counts, totals
+
+
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, zeros: int, ones: int) -> list[tuple[bytes, str | None, int]]:
-    """Up to ``zeros`` and ``ones`` labelled rows of the classes that ``learn`` allows, in hash order: (text, lang, label).
+    """``drawn`` without the ids."""
+    return [x[1:] for x in drawn(docs, labels, label, learn, zeros, ones)]
+
+
+def drawn(docs: DataFrame, labels: DataFrame, label: str, learn: Column, zeros: int, ones: int) -> list[tuple[int, bytes, str | None, int]]:
+    """Up to ``zeros`` and ``ones`` labelled rows of the classes that ``learn`` allows, in hash order: (doc_id, text, lang, label).
 
     The ids are bounded by the parameter before the documents are read, so they are broadcast.
     """
@@ -221,8 +267,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, zeros:
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     found = docs.select("doc_id", text_of().cast("binary").alias("text"), lang.alias("lang")).join(ids, "doc_id").select("doc_id", "text", "lang", "label")
     table = found.toArrow()
-    kept = sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["lang"].to_pylist(), table["label"].to_pylist()), key=lambda x: (x[0], x[1]))
-    return [x[1:] for x in kept]
+    return sorted(zip(table["doc_id"].to_pylist(), table["text"].to_pylist(), table["lang"].to_pylist(), table["label"].to_pylist()), key=lambda x: (x[0], x[1]))
 
 
 def held_out() -> Column:
@@ -230,8 +275,9 @@ def held_out() -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Net:
-    """Train on the rows outside the held-out quarter; a fifth of them is kept back to calibrate thresholds."""
-    rows = sample(docs, labels, "toxic", ~held_out(), 2 * most, most)
+    """Train on a sample of the rows outside the held-out quarter, less a fifth of it; all others outside it calibrate thresholds."""
+    found = drawn(docs, labels, "toxic", ~held_out(), 2 * most, most)
+    rows = [x[1:] for x in found]
     if not rows or len({x[2] for x in rows}) < 2:  # nothing to learn from: all texts score alike
         net = new_net()
         net.out[:] = 0
@@ -240,7 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Net:
     texts, y = [x[0] for x in rows], np.array([x[2] for x in rows], np.float32)
     back = np.arange(len(rows)) % 5 == 4
     net = train([t for t, b in zip(texts, back) if not b], y[~back])
-    net.thresholds = calibrated(scores([t for t, b in zip(texts, back) if b], Lookup(net)), y[back], [x[1] for x, b in zip(rows, back) if b])
+    net.thresholds = calibrated(*score_counts(docs, labels, net, [x[0] for x, b in zip(found, back) if not b]))
     return net
 
 

@@ -418,6 +418,25 @@ def test_classifiers_on_held_out_rows(spark):
         assert np.mean([p == y for p, y in rows]) > good
 
 
+def test_thresholds_count_every_row_not_trained_on(spark):
+    docs, labels = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    net = toxicity.fit(docs, labels, 60)
+    truth = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
+    langs = {r.doc_id: r.lang for r in docs.select("doc_id", "lang").collect() if r.doc_id in truth}
+    trained = [x[0] for i, x in enumerate(toxicity.drawn(docs, labels, "toxic", ~toxicity.held_out(), 120, 60)) if i % 5 != 4]
+    counts, totals = toxicity.score_counts(docs, labels, net, trained)
+    assert sum(c.sum() for c in counts.values()) == len(langs) - len(trained)
+    assert {k: v.tolist() for k, v in totals.items()} == {k: [sum(truth[i] == y and x == k for i, x in langs.items()) for y in (0, 1)] for k in set(langs.values())}
+    assert set(net.thresholds) == set(langs.values())  # small languages too
+
+
+def test_thresholds_follow_the_true_class_ratio():
+    counts = np.zeros((2, len(toxicity.GRID) + 1))
+    counts[0, [5, 30]], counts[1, [20, 45]] = [80, 20], [50, 50]
+    few, many = (toxicity.calibrated({"en": counts}, {"en": np.array([n, 100.0])})["en"] for n in (100, 10_000))
+    assert few < toxicity.GRID[29] < many
+
+
 def test_classifier_edges(spark, edge):
     labels = spark.createDataFrame([(4, 1, 0), (6, 1, 0), (99, 0, 1)], "doc_id long, quality int, toxic int")
     for classify in (toxicity.classify, quality.classify):
