@@ -12,8 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Path segments of a capture that are looked up.
-SEGMENTS = 3
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
@@ -24,20 +22,29 @@ def host_of(url: Column) -> Column:
     return F.when(found != "", found)
 
 
+def entry_key(value: Column) -> Column:
+    """A list entry with its host in lower case; paths tell cases apart."""
+    return F.concat(F.lower(F.regexp_extract(value, "^[^/]*", 0)), F.regexp_extract(value, "(?s)/.*", 0))
+
+
 def intervals(entries: DataFrame) -> DataFrame:
     """value, since, until (null: still in force). Of a value's entries on one day the last by action stands, a removal over an addition."""
-    daily = entries.where("value is not null and day is not null").groupBy(F.lower("value").alias("value"), "day").agg(F.max("action").alias("action"))
+    daily = entries.where("value is not null and day is not null").groupBy(entry_key(F.col("value")).alias("value"), "day").agg(F.max("action").alias("action"))
     following = F.lead("day").over(Window.partitionBy("value").orderBy("day"))
     return daily.withColumn("until", following).where("action = 'add'").select("value", F.col("day").alias("since"), "until")
 
 
-def keys_of(host: Column, path: Column) -> Column:
-    """Values that a capture is looked up under: host suffixes of two labels or more, and host with up to SEGMENTS path segments."""
+def keys_of(host: Column, path: Column, depths: Column) -> Column:
+    """Values that a capture is looked up under: host suffixes of two labels or more, and host with as many first path segments as ``depths`` names.
+
+    ``depths`` are the numbers of segments that the list's entries have, so every prefix that can match is looked up, however deep.
+    """
     labels = F.split(host, r"\.")
     n = F.size(labels)
     suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
-    prefixes = F.when(F.size(parts) > 0, F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(SEGMENTS))), lambda i: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    fitting = F.filter(depths, lambda d: d <= F.size(parts))
+    prefixes = F.transform(fitting, lambda d: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))
     return F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
 
 
@@ -49,9 +56,11 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     columns are ignored.
     """
     rows = captures.select("page_id", "url", "day").distinct().withColumn("host", host_of(F.col("url")))
-    looked = rows.where("host is not null and day is not null").select("page_id", "url", "day", F.explode(keys_of(F.col("host"), F.coalesce(F.regexp_extract("url", PATH, 1), F.lit("")))).alias("value"))
+    spans = intervals(entries)
+    depths = spans.select((F.size(F.split("value", "/")) - 1).alias("depth")).where("depth > 0").agg(F.sort_array(F.collect_set("depth")).alias("depths"))
+    looked = rows.crossJoin(F.broadcast(depths)).where("host is not null and day is not null").select("page_id", "url", "day", F.explode(keys_of(F.col("host"), F.coalesce(F.regexp_extract("url", PATH, 1), F.lit("")), F.col("depths"))).alias("value"))
     asked = looked.select("value", "day").distinct()
-    held = asked.join(intervals(entries), "value").where("since <= day and (until is null or day < until)")
+    held = asked.join(spans, "value").where("since <= day and (until is null or day < until)")
     best = F.max(F.struct(F.length("value").alias("length"), "value", "since"))
     hits = looked.join(held, ["value", "day"]).groupBy("page_id", "url", "day").agg(best.alias("best"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"h.{c}")) for c in ("page_id", "url", "day")]

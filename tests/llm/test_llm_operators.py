@@ -470,6 +470,15 @@ def test_url_filter_as_of(spark):
     assert url_filter.evaluate(captures.limit(0), entries).collect() == []
 
 
+def test_url_filter_looks_up_every_prefix_in_its_own_case(spark):
+    entries = spark.createDataFrame([(v,) for v in ("Host.org/a/b/c/d", "host.org/" + "/".join("abcdefghijkl"), "case.org/Ads", "case.org/low")], "value string").selectExpr("value", "'add' AS action", "DATE '2024-01-01' AS day")
+    deep = "host.org/" + "/".join("abcdefghijkl")
+    urls = [("http://host.org/a/b/c/d/x", "host.org/a/b/c/d"), ("http://host.org/a/b/c", None), (f"http://{deep}/m?q", deep), ("http://CASE.org/Ads/1", "case.org/Ads"), ("http://case.org/ads/1", None), ("http://case.org/Low", None), ("http://case.org/low", "case.org/low")]
+    captures = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls)], "page_id long, url string").selectExpr("page_id", "url", "DATE '2024-02-01' AS day")
+    got = {r.page_id: r.matched for r in url_filter.evaluate(captures, entries).collect()}
+    assert got == {i: m for i, (_, m) in enumerate(urls)}
+
+
 # pipeline
 
 
