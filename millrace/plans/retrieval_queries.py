@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import retrieval as R
-from millrace.plans.registry import query, table
+from millrace.plans.registry import ORACLE_SQL, query, table
 
 _W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9\x{{4e00}}-\x{{9fff}}]+')"
 
@@ -27,6 +27,13 @@ def bm25_topk(spark, sf_dir):
     return R.bm25(table(spark, sf_dir, "documents"), queries, 10)
 
 
+@query("bm25_all_words", ORACLE_SQL["bm25_topk"].replace("[1:5]", ""))
+def bm25_all_words(spark, sf_dir):
+    """``bm25_topk`` with every word of an item as its query."""
+    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.words(F.col("text"))).alias("term"))
+    return R.bm25(table(spark, sf_dir, "documents"), queries, 10)
+
+
 @query("term_idf", rf"""
 WITH toks AS (SELECT doc_id, list_distinct({_W.format("text")}) AS w FROM documents), n AS (SELECT count(*) AS docs FROM toks)
 SELECT term, count(*) AS df, round(ln(1 + (docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM (SELECT unnest(w) AS term FROM toks), n GROUP BY term, docs
@@ -119,3 +126,9 @@ def rerank_terms(spark, sf_dir):
     pairs = terms(asked, "item_id", "q").join(terms(pages, "page_id", "title"), "t").select("item_id", "page_id").distinct()
     scored = pairs.join(asked, "item_id").join(pages, "page_id").select("item_id", "page_id", R.rerank_terms(F.col("title"), F.col("title"), F.col("url"), F.col("q")).alias("score"))
     return R.top(scored, "item_id", "score", "page_id", 10)
+
+
+@query("rerank_all_terms", ORACLE_SQL["rerank_terms"].replace("[1:3]", "").replace("(SELECT page_id, unnest(tt) AS t FROM pt)", "(SELECT page_id, unnest(list_distinct(list_concat(tt, ut))) AS t FROM pt)"))
+def rerank_all_terms(spark, sf_dir):
+    """``rerank_terms`` with every word of an item, over pages that share a term by their title or their URL."""
+    return R.rerank_pages(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title")), 10)

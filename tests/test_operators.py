@@ -8,7 +8,9 @@ from millrace.functions import text as T
 from millrace.functions import web as U
 from millrace.operators import dedup as D
 from millrace.operators import graph as G
+from millrace.operators import retrieval as R
 from millrace.operators import telemetry as M
+from millrace.plans.catalog import QUERIES
 
 
 def one(spark, column, value):
@@ -63,3 +65,11 @@ def test_failure_runs(spark):
 def test_percentile_rules_by_hand(spark):
     r = M.percentiles(spark.createDataFrame([("g", float(i)) for i in range(1, 11)], "g string, v double"), "g", "v", 0.95).first()
     assert (r.nearest, r.rounded, r.floored, r.clamped, r.median) == (10.0, 10.0, 9.0, 10.0, 5.5)
+
+
+def test_later_words_and_url_words_find_their_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "one two three four five six rare")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(7, "nothing here"), (8, "a rare find")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(3, "http://x.org/rare", "<title>no such word in this title</title>"), (4, "http://x.org/", "<title>nor any in this title here</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [r.doc_id for r in QUERIES["bm25_all_words"](spark, str(tmp_path)).collect()] == [8]
+    assert [(r.page_id, r.score) for r in QUERIES["rerank_all_terms"](spark, str(tmp_path)).collect()] == [(3, 1.0)]
