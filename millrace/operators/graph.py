@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +31,34 @@ def entity_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_")
 
 
+def positions(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, term (kind:key) of every place in a document, in characters, where the name of one of its entities stands in any case, inside longer words too."""
+    def named(kind: str, pattern: str) -> Column:
+        names = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(0))
+        return F.transform(names, lambda n: F.struct(n.alias("name"), F.concat(F.lit(f"{kind}:"), entity_key(n)).alias("term")))
+
+    found = F.flatten(F.array(*[named(kind, p) for kind, p in ENTITY_PATTERNS.items()]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, terms = [], [], []
+            for i, text, names in zip(*(c.to_pylist() for c in batch.columns)):
+                hits = {(m.start(), x["term"]) for x in names for m in re.finditer(re.escape(x["name"]), text, re.I)}
+                ids += [i] * len(hits)
+                at += [p for p, _ in hits]
+                terms += [t for _, t in hits]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(at, pa.int64()), pa.array(terms, pa.string())], names=["doc_id", "pos", "term"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.array_distinct(found).alias("names")).where(F.size("names") > 0)
+    return rows.mapInArrow(run, "doc_id long, pos long, term string")
+
+
+def weighted(pairs: DataFrame, least: float = 0.1) -> DataFrame:
+    """``cooccurrence`` with weight, the share of the greatest count to three places, from ``least`` on."""
+    most = pairs.agg(F.max("pairs").alias("most"))
+    return pairs.join(F.broadcast(most)).select("term_a", "term_b", "pairs", F.round(F.col("pairs") / F.col("most"), 3).alias("weight")).where(F.col("weight") >= least)
+
+
 def entities(found: DataFrame) -> DataFrame:
     """Per entity its kind, key, least surface form, mentions and documents."""
     return found.groupBy("kind", entity_key(F.col("name")).alias("key")).agg(F.min("name").alias("name"), F.count(F.lit(1)).alias("mentions"), F.count_distinct("doc_id").alias("docs"))

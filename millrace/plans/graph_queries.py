@@ -30,6 +30,12 @@ def cooccurrence(spark, sf_dir):
     return G.cooccurrence(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.posexplode(w).alias("pos", "term")), 10)
 
 
+@query("entity_cooccurrence")
+def entity_cooccurrence(spark, sf_dir):
+    """Entities of all documents that stand at most 50 characters apart, by weight; tests compare with brute force."""
+    return G.weighted(G.cooccurrence(G.positions(table(spark, sf_dir, "documents")), 50))
+
+
 def _edges(spark, sf_dir):
     return near_dup_pairs(spark, sf_dir).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))
 

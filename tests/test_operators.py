@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -73,3 +76,15 @@ def test_later_words_and_url_words_find_their_rows(spark, tmp_path):
     spark.createDataFrame([(3, "http://x.org/rare", "<title>no such word in this title</title>"), (4, "http://x.org/", "<title>nor any in this title here</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [r.doc_id for r in QUERIES["bm25_all_words"](spark, str(tmp_path)).collect()] == [8]
     assert [(r.page_id, r.score) for r in QUERIES["rerank_all_terms"](spark, str(tmp_path)).collect()] == [(3, 1.0)]
+
+
+def test_entity_cooccurrence_against_brute_force(spark, tmp_path):
+    texts = {1: "Ann Lee met Bob Ray on 2024-01-02, then ANN LEE left. " + "x " * 12 + "Bob Ray wrote to b@x.org about 2024.", 2: "Bob Ray, Ann Lee", 3: None, 4: "Cy Dow" + " z" * 21 + " Di Eck" + " z" * 40 + " Bob Ray"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    counts = Counter()
+    for text in filter(None, texts.values()):
+        places = {(m.start(), f"{kind}:" + re.sub("[^a-z0-9]+", "_", name.lower())) for kind, p in G.ENTITY_PATTERNS.items() for name in re.findall(p, text) for m in re.finditer(re.escape(name), text, re.I)}
+        counts.update((a, b) for p, a in places for q, b in places if a < b and abs(p - q) <= 50)
+    want = {(a, b, n, round(n / max(counts.values()), 3)) for (a, b), n in counts.items() if round(n / max(counts.values()), 3) >= 0.1}
+    got = {tuple(r) for r in QUERIES["entity_cooccurrence"](spark, str(tmp_path)).collect()}
+    assert got == want and any({"name:cy_dow", "name:di_eck"} == {a, b} for a, b, _, _ in got)
