@@ -1,6 +1,6 @@
 """Streams over the same functions as the batch operators.
 
-Rolling health and histograms are windowed aggregations with watermarks; change detection and the circuit breaker keep
+Rolling health is a windowed aggregation with watermarks; change detection and the circuit breaker keep
 a small state per key in ``applyInPandasWithState``.
 """
 
