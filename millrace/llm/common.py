@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,3 +61,33 @@ def text_of(name: str = "text") -> Column:
 def remainder(key: Column, of: int) -> Column:
     """crc32 of the key's text modulo ``of``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % of
+
+
+def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``most`` bytes together."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= most:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
+
+
+def attach(rows: DataFrame, side: DataFrame, keys: list[str], count: str, parts: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``side``, which has one row for every key of theirs; ``count``, dropped, tells how many have it.
+
+    Keys with more than one row in ``parts`` are hot. At most ``parts`` keys can be, whatever the table's size, so
+    theirs are broadcast; the others are shuffled, and no task gets more than one row in ``parts`` for a key.
+    Rows with a null key are not shuffled and match nothing. Both inputs are read several times, so they
+    should be written tables or cheap to compute.
+    """
+    limit = max(1, rows.count() // parts)
+    hot, cold = side.where(F.col(count) > limit).drop(count), side.where(F.col(count) <= limit).drop(count)
+    whole = " and ".join(f"`{k}` is not null" for k in keys)
+    known = rows.where(whole)
+    done = known.join(F.broadcast(hot), keys)
+    rest = known.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, "left")
+    unkeyed = rows.where(f"not ({whole})").select("*", *[F.lit(None).cast(t).alias(c) for c, t in hot.dtypes if c not in keys])
+    return done.unionByName(rest).unionByName(unkeyed)

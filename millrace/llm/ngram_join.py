@@ -1,37 +1,45 @@
 """Exact n-gram Jaccard join of whole documents, and its connected components.
 
-Documents with equal shingle sets form one class, and class representatives are joined. Sizes lie in
-bands; a set can link to sets of its own and the two neighbouring bands only. In a band, linked sets
-differ in at most d shingles, so if the hash space is cut into more than d segments, some segments
-hold the same shingles in both: these (band, segment, contents) keys are the tiles. Representatives
-that share a tile are compared by hashed bitmaps of the band's width: a bit set in one bitmap alone
-proves a shingle in one set alone, so bit counts bound the overlap from above. What passes is
-intersected exactly as sorted arrays.
-
-A tile may hold a third of all documents. First every document meets two pivots of its tiles; then
-tiles whose members are all connected drop out, and of the rest only pairs across components are
-compared, in blocks of bounded size. No link between components is lost, and links inside a
-component need not be listed.
+Documents with equal shingle sets form one class, and one document stands for it. Sizes lie in bands;
+a pair is sought in the band of its smaller set, so a set is keyed in its own band and, if a linked
+set could be that small, in the band below. In a band, linked sets differ in at most d shingles, so if
+the hash space is cut into more than d segments, some segments hold the same shingles in both: these
+(band, segment, contents) keys are the tiles. Members of a tile are compared by hashed bitmaps of the
+band's width: a bit set in one bitmap alone proves a shingle in one set alone, so bit counts bound the
+overlap from above. What passes is intersected exactly as sorted arrays.
+
+Only (key, document) rows are shuffled to find the tiles, sorted and compared with their neighbours, so
+no tile is held in memory. A tile may hold a third of all documents: in each of a few rounds every
+document meets one member of another component, and tiles whose members are all connected drop out. In
+the rest every document outside a tile's largest component meets all members of other components: small
+tiles list these pairs by id, large ones compare wider bitmaps in blocks of bounded size and list what
+passes. No link between components is lost; links inside a component need not be listed.
 """
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import discard, materialize, text_of
+from millrace.llm.common import attach, discard, materialize, slices, text_of
 from millrace.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
-#: Ratio of a band's ends, share of a document's weakest segments that its keys leave out, members of a tile's block.
-RATIO, WEAKEST, BLOCK = 1.6, 0.08, 512
+#: Ratio of a band's ends, share of a document's weakest segments that its keys leave out.
+RATIO, WEAKEST = 1.25, 0.08
+#: Bits of a bitmap by shingle: in the screen of single pairs, and in the blocks of large tiles.
+BITS, WIDE = 4, 16
+#: Rounds in which a document meets one member of another component; members up to which a tile is small; members of a large tile's block.
+ROUNDS, SMALL, BLOCK = 3, 32, 512
+#: From here on nodes stand for classes whose only doc_id is null.
+NAMELESS = 1 << 62
 _U = np.uint64
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
@@ -43,20 +51,28 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(32))
 
 
-def shingles(text: bytes, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word n-grams; the whole sequence as one where words are fewer."""
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, _U)
-    digest = xxhash.xxh3_64_intdigest
-    hashes = np.fromiter(map(digest, words), _U, len(words))
+def _rolled(hashes: np.ndarray, width: int) -> np.ndarray:
+    """The hash of every ``width`` consecutive words."""
     with np.errstate(over="ignore"):
-        width = min(n, len(words))
-        rows = len(words) - width + 1
-        total = np.full(rows, width, _U)
-        for j in range(width):
+        rows = len(hashes) - width + 1
+        total = np.full(max(0, rows), width, _U)
+        for j in range(width if rows > 0 else 0):
             total = mix(total * _U(_ODD[(j + 1) % 8]) + hashes[j : j + rows] * _U(_ODD[j % 8]))
-    return np.unique(total)
+    return total
+
+
+def sets_in(texts: list[bytes], n: int = SHINGLE) -> Iterator[np.ndarray]:
+    """Per text the sorted distinct 64-bit hashes of its word n-grams; the whole sequence as one where words are fewer."""
+    for first, last in slices(texts):
+        words = [t.lower().split() for t in texts[first:last]]
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, chain.from_iterable(words)), _U)
+        grams, at = _rolled(hashes, n), 0
+        for own in map(len, words):
+            if own >= n:
+                yield np.unique(grams[at : at + own - n + 1])
+            else:
+                yield _rolled(hashes[at : at + own], own) if own else np.zeros(0, _U)
+            at += own
 
 
 class Bands:
@@ -69,18 +85,26 @@ class Bands:
         self.starts_array = np.array(self.starts)
 
     def of(self, size: int) -> list[int]:
-        """The bands a size is keyed in: its own, and the next if a set there could link to it."""
+        """The bands a size is keyed in: its own, and the one below if a set there could link to it."""
         own = int(np.searchsorted(self.starts_array, size, "right")) - 1
-        return [own, own + 1] if self.percent * self.starts[own + 1] <= 100 * size else [own]
+        return [own, own - 1] if own and self.percent * size <= 100 * (self.starts[own] - 1) else [own]
 
     @lru_cache(maxsize=None)  # noqa: B019
-    def cut(self, band: int) -> tuple[int, int, np.ndarray, int]:
-        """Segments that differ at most, those left out, the segments' lower ends, bits of a bitmap."""
-        d = 2 * (self.starts[band + 1] - 1) * (100 - self.percent) // (100 + self.percent)
+    def cut(self, band: int) -> tuple[int, int, np.ndarray]:
+        """Segments that differ at most, those left out, the segments' lower ends.
+
+        The smaller set of a pair lies in the band, so it has at most ``most`` shingles and the other 100 / percent times as many.
+        """
+        most = self.starts[band + 1] - 1
+        d = (most + 100 * most // self.percent) * (100 - self.percent) // (100 + self.percent)
         out = -(-int((d + 1) * WEAKEST * 100) // 100) if d else 0
         k = d + 1 + 2 * out
         ends = np.array([(i << 64) // k for i in range(k)], _U)
-        return d, out, ends, 64 * -(-2 * self.starts[band + 1] // 64)
+        return d, out, ends
+
+    def width(self, band: int, bits: int) -> int:
+        """Bits of a bitmap in the band."""
+        return 64 * -(-bits * self.starts[band + 1] // 64)
 
 
 def tile_keys(marks: np.ndarray, bands: Bands) -> np.ndarray:
@@ -89,7 +113,7 @@ def tile_keys(marks: np.ndarray, bands: Bands) -> np.ndarray:
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, _U), np.cumsum(mix(marks), dtype=_U)])
         for band in bands.of(len(marks)):
-            d, out, ends, _ = bands.cut(band)
+            d, out, ends = bands.cut(band)
             if not d:  # only equal sets link
                 continue
             at = np.append(np.searchsorted(marks, ends), len(marks))
@@ -111,44 +135,87 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+
+
+def _digests(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of two 64-bit halves for each set."""
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
+
+
+def digested(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, lo and hi (a 128-bit digest of the set, null for the empty set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(sets_in(batch.column(1).to_pylist(), n))
+            halves, sizes = _digests(sets), np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), *(pa.array(halves[:, i], mask=sizes == 0) for i in (0, 1))], names=["doc_id", "n_shingles", "lo", "hi"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long")
+
+
+def _nameless(lo: int) -> int:
+    return NAMELESS | (lo >> 2) & (NAMELESS - 1)
+
+
 def keyed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, lo and hi (a 128-bit digest of the set), keys."""
+    """(key, node) for the tiles of every document; of equal sets in one task only the least doc_ids so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands, least = Bands(percent), {}
         for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            digests = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(halves[:, 0]), pa.array(halves[:, 1]), _lists([tile_keys(s, bands) if len(s) else np.zeros(0, np.int64) for s in sets])],
-                names=["doc_id", "n_shingles", "lo", "hi", "keys"],
-            )
+            sets = list(sets_in(batch.column(1).to_pylist(), n))
+            at: dict[bytes, int] = {}
+            for i, (doc_id, s, half) in enumerate(zip(batch.column(0).to_pylist(), sets, _digests(sets))):
+                digest, node = half.tobytes(), _nameless(int(half[0])) if doc_id is None else doc_id
+                if len(s) and node < least.get(digest, 1 << 63):
+                    least[digest], at[digest] = node, i
+            keys = [tile_keys(sets[i], bands) for i in at.values()]
+            nodes = np.repeat(np.array([least[d] for d in at], np.int64), [len(k) for k in keys])
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(nodes)], names=["key", "node"])
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, lo long, hi long, keys array<long>")
+    return texts(docs).mapInArrow(run, "key long, node long")
 
 
-def texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text"))
+def mapped(nodes: list[int], sets: list[np.ndarray], bands: Bands, bits: int) -> pa.RecordBatch:
+    """node, size, band, bits in its own band and the one below (empty if not keyed there), bit counts."""
+    of = [bands.of(len(s)) for s in sets]
+    own = [bitmap(s, bands.width(b[0], bits)) for s, b in zip(sets, of)]
+    below = [bitmap(s, bands.width(b[1], bits)) if len(b) > 1 else np.zeros(0, np.int64) for s, b in zip(sets, of)]
+    ones = lambda maps: pa.array([int(np.bitwise_count(m.view(_U)).sum()) for m in maps], pa.int32())
+    columns = [pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in of], pa.int32()), _lists(own), _lists(below), ones(own), ones(below)]
+    return pa.RecordBatch.from_arrays(columns, names=["node", "size", "band", "own", "below", "own_ones", "below_ones"])
+
+
+MAPPED = "node long, size long, band int, own array<long>, below array<long>, own_ones int, below_ones int"
 
 
 def sets_of(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, size, band, bits in its own band and the next (null if not keyed there), bit counts, marks (the sorted set)."""
+    """The bitmaps and marks (the sorted set) of the (node, text) rows that have shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            rows = [(node, s) for node, s in zip(batch.column(0).to_pylist(), sets_in(batch.column(1).to_pylist(), n)) if len(s)]
+            sets = [s for _, s in rows]
+            nodes = [_nameless(int(half[0])) if node is None else node for (node, _), half in zip(rows, _digests(sets))]
+            yield mapped(nodes, sets, bands, BITS).append_column("marks", pa.array([s.tobytes() for s in sets], pa.binary()))
+
+    return docs.select("node", "text").mapInArrow(run, f"{MAPPED}, marks binary")
+
+
+def widened(sets: DataFrame, percent: int) -> DataFrame:
+    """The wide bitmaps of sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
         for batch in batches:
-            sets = [shingles(t, n) for t in batch.column(1).to_pylist()]
-            of = [bands.of(len(s)) for s in sets]
-            own = [bitmap(s, bands.cut(b[0])[3]) for s, b in zip(sets, of)]
-            nxt = [bitmap(s, bands.cut(b[1])[3]) if len(b) > 1 else np.zeros(0, np.int64) for s, b in zip(sets, of)]
-            ones = lambda maps: pa.array([int(np.bitwise_count(m.view(_U)).sum()) for m in maps], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([b[0] for b in of], pa.int32()), _lists(own), _lists(nxt), ones(own), ones(nxt), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["doc_id", "size", "band", "own", "next", "own_ones", "next_ones", "marks"],
-            )
+            yield mapped(batch.column(0).to_pylist(), [np.frombuffer(m, _U) for m in batch.column(1).to_pylist()], bands, WIDE)
 
-    return texts(docs).mapInArrow(run, "doc_id long, size long, band int, own array<long>, next array<long>, own_ones int, next_ones int, marks binary")
+    return sets.select("node", "marks").mapInArrow(run, MAPPED)
 
 
 def may_link(a: str, b: str, percent: int) -> Column:
@@ -160,17 +227,22 @@ def may_link(a: str, b: str, percent: int) -> Column:
         both = F.aggregate(F.zip_with(c(a, x), c(b, y), lambda p, q: F.bit_count(p.bitwiseAND(q))), F.lit(0), lambda s, v: s + v)
         return enough(both + F.least(c(a, "size") - c(a, f"{x}_ones"), c(b, "size") - c(b, f"{y}_ones")))
 
-    near = F.abs(c(a, "band") - c(b, "band")) <= 1
-    same = c(a, "band") == c(b, "band")
-    keyed_ = (c(a, "band") < c(b, "band")) & (c(a, "next_ones") > 0) | (c(a, "band") > c(b, "band")) & (c(b, "next_ones") > 0)
-    mapped = F.when(same, bound("own", "own")).when(keyed_ & (c(a, "band") < c(b, "band")), bound("next", "own")).when(keyed_, bound("own", "next")).otherwise(False)
-    return near & enough(F.least(c(a, "size"), c(b, "size"))) & mapped
+    step = c(a, "band") - c(b, "band")
+    fits = F.when(step == 0, bound("own", "own")).when((step == 1) & (c(a, "below_ones") > 0), bound("below", "own")).when((step == -1) & (c(b, "below_ones") > 0), bound("own", "below")).otherwise(False)
+    return enough(F.least(c(a, "size"), c(b, "size"))) & fits
+
+
+def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their bitmaps leave possible."""
+    maps = sets.drop("marks")
+    rows = pairs.alias("p").join(maps.alias("x"), F.col("p.a") == F.col("x.node")).join(maps.alias("y"), F.col("p.b") == F.col("y.node"))
+    return rows.where(may_link("x", "y", percent)).select("p.a", "p.b")
 
 
 def intersect(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by exact intersection of sorted arrays."""
-    marks = sets.select("doc_id", "marks")
-    rows = pairs.join(marks.select(F.col("doc_id").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("doc_id").alias("b"), F.col("marks").alias("mb")), "b")
+    marks = sets.select("node", "marks")
+    rows = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,41 +256,115 @@ def intersect(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ma", "mb").mapInArrow(run, "a long, b long")
 
 
-def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs that their bitmaps leave possible."""
-    maps = sets.drop("marks")
-    rows = pairs.distinct().alias("p").join(maps.alias("x"), F.col("p.a") == F.col("x.doc_id")).join(maps.alias("y"), F.col("p.b") == F.col("y.doc_id"))
-    return rows.where(may_link("x", "y", percent)).select("p.a", "p.b")
+def tiles(rows: DataFrame) -> DataFrame:
+    """The (key, node) rows whose key another row has. Neighbours in sort order decide, so a tile of any size is only streamed."""
+    beside = Window.partitionBy("key").orderBy("node")
+    found = rows.withColumn("before", F.lag("node").over(beside)).withColumn("after", F.lead("node").over(beside))
+    return found.where("before is not null or after is not null").select("key", "node")
 
 
-def tiles(keys: DataFrame) -> DataFrame:
-    """key, doc_id, members, first and second pivot of every tile with several documents."""
-    from pyspark.sql import Window
+def mixed(rows: DataFrame) -> DataFrame:
+    """The (key, node, component) rows of tiles with several components."""
+    several = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(several, "key", "left_semi")
 
-    tile = Window.partitionBy("key")
-    members = keys.withColumn("members", F.count(F.lit(1)).over(tile)).withColumn("first", F.min("doc_id").over(tile)).withColumn("second", F.min(F.struct(F.xxhash64("doc_id"), "doc_id")).over(tile)["doc_id"])
-    return members.where("members > 1")
 
+def meetings(rows: DataFrame, turn: int) -> DataFrame:
+    """For every node one member of another component in one of its tiles, as distinct pairs a < b.
 
-def across(rows: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in one tile that bitmaps leave possible, by blocks of a tile."""
-    marked = rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = marked.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    held = marked.join(mixed, "key").join(sets.drop("marks"), "doc_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    held = held.withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(1)), blocks.cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    held = held.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    a, b = held.where("block = low").alias("x"), held.where("block = high").alias("y")
-    same = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
-    ordered = (F.col("x.low") != F.col("x.high")) | (F.col("x.doc_id") < F.col("y.doc_id"))
-    found = a.join(b, same & ordered & (F.col("x.component") != F.col("y.component")) & may_link("x", "y", percent))
-    return found.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    The members on offer are each tile's least by a hash of the round (its least node in the first round),
+    and the greatest by it where the least is of the node's own component.
+    """
+    rank = F.struct(F.lit(0).alias("h") if turn == 0 else F.xxhash64("node", F.lit(turn)).alias("h"), "node", "component")
+    offers = rows.groupBy("key").agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
+    other = F.when(F.col("first.component") != F.col("component"), F.col("first")).when(F.col("last.component") != F.col("component"), F.col("last"))
+    met = rows.join(offers, "key").withColumn("met", other).where("met is not null").groupBy("node").agg(F.min("met")["node"].alias("met"))
+    return met.select(F.least("node", "met").alias("a"), F.greatest("node", "met").alias("b")).distinct()
 
 
-def _sweep(df: DataFrame) -> None:
-    """Let Spark drop the shuffle files of plans that are no longer held."""
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+def remaining(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs a < b with every linked pair of different components in one tile.
+
+    Every node outside the tile's largest component meets the members of other components. Small tiles list
+    all such pairs; large ones are cut into blocks, and a block lists the pairs that its bitmaps leave possible.
+    """
+    counts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("main"), F.sum("n").alias("members"), (F.sum("n") - F.max("n")).alias("others"))
+    held = materialize(rows.join(largest, "key").withColumn("other", F.col("component") != F.col("main")).drop("main"), "held")
+    few = held.where(F.col("members") <= SMALL)
+    left, right = few.alias("l"), few.where("other").alias("r")
+    once = ~F.col("l.other") | (F.col("l.node") < F.col("r.node"))
+    pairs = left.join(right, (F.col("l.key") == F.col("r.key")) & once & (F.col("l.component") != F.col("r.component")))
+    listed = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"))
+    out = materialize(listed.unionByName(from_blocks(held.where(F.col("members") > SMALL), sets, percent)).distinct(), "pairs")
+    discard(held)
+    return out
+
+
+def from_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of large tiles that wide bitmaps leave possible; a block pair holds about ``BLOCK`` members of either side."""
+    wide = widened(sets.join(rows.select("node").distinct(), "node", "left_semi"), percent)
+    held = rows.join(wide, "node")
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    slot = lambda c: F.pmod(F.xxhash64("node", F.lit(c)), parts(c).cast("long")).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), parts(c) - 1))
+    left = held.withColumn("right", F.lit(False)).withColumn("x", slot("members")).withColumn("y", every("others"))
+    right = held.where("other").withColumn("right", F.lit(True)).withColumn("y", slot("others")).withColumn("x", every("members"))
+
+    def run(group: pa.Table) -> pa.Table:
+        a, b = block_pairs(group, percent)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return left.unionByName(right.select(*left.columns)).groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
+
+
+def block_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """The possible pairs (a < b) of one block pair: rows with ``right`` against those without, of other components."""
+    get = lambda c: group.column(c).to_numpy()
+    node, size, band, component, right, other = (get(c) for c in ("node", "size", "band", "component", "right", "other"))
+    found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    maps, ones = {n: group.column(n).to_pylist() for n in ("own", "below")}, {n: get(f"{n}_ones") for n in ("own", "below")}
+    for low in np.unique(band):
+        # rows of this band by their own bitmaps, rows of the next by those of the band below
+        use = [(i, "own") for i in np.flatnonzero(band == low)] + [(i, "below") for i in np.flatnonzero((band == low + 1) & (ones["below"] > 0))]
+        at = np.array([i for i, _ in use])
+        bits, lost = np.array([maps[n][i] for i, n in use], np.int64), size[at] - np.array([ones[n][i] for i, n in use])
+        across = band[at] != low
+        lefts = np.flatnonzero(~right[at])
+        for r in np.flatnonzero(right[at]):
+            l = lefts[(component[at[lefts]] != component[at[r]]) & (~other[at[lefts]] | (node[at[lefts]] < node[at[r]])) & ~(across[lefts] & across[r])]
+            if len(l):
+                both = np.bitwise_count((bits[l] & bits[r]).view(_U)).sum(1) + np.minimum(lost[l], lost[r])
+                l = l[(100 + percent) * both.astype(np.int64) >= percent * (size[at[l]] + size[at[r]])]
+                found.append(np.sort(np.stack([node[at[l]], np.full(len(l), node[at[r]])], 1), axis=1))
+    both = np.concatenate(found)
+    return both[:, 0], both[:, 1]
+
+
+def linked_components(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """node, component (its least node) for the nodes of the tiles ``rows`` (key, node) that link to others."""
+    labels = materialize(rows.select("node", F.col("node").alias("component")).limit(0), "labels")
+    held: list[DataFrame] = []
+    for turn in range(ROUNDS + 1):
+        named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+        rows = materialize(mixed(named), "mixed")
+        pairs = meetings(rows, turn) if turn < ROUNDS else remaining(rows, sets, percent)
+        links = materialize(intersect(screened(pairs, sets, percent), sets, percent), "links")
+        held += [rows, links, labels]
+        if turn == ROUNDS and turn:
+            discard(pairs)
+        if rows.isEmpty():
+            break
+        rows = rows.select("key", "node")
+        ends = links
+        for end in ("a", "b"):  # links between components: what earlier rounds joined is one node
+            ends = ends.join(labels.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        step = components(ends)
+        moved = labels.join(step.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+        labels = materialize(moved.unionByName(step.join(labels, "node", "left_anti")), "labels")
+        held.append(step)
+    discard(*(t for t in held if t is not labels))
+    return labels
 
 
 def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -226,31 +372,27 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
 
     Words are runs of non-blank characters with A-Z lower-cased; a document's set holds its distinct word n-grams, or its
     whole sequence where it has fewer words. Two documents link when 100 |A and B| >= percent |A or B|; component_id is
-    the smallest doc_id reachable. Null, empty and blank texts have no shingles and link with nothing. Rows that repeat a
-    doc_id are classed by their own texts each; texts whose smallest doc_id agrees count as one. A null
-    doc_id takes part, but never names a class that has another. An empty table gives no rows; other columns are ignored.
+    the smallest doc_id reachable. Null, empty and blank texts have no shingles and link with nothing. Texts of any length
+    are read whole. Rows that repeat a doc_id are classed by their own texts each; texts whose smallest doc_id agrees count
+    as one. A null doc_id links as any other and names no component that has another id; a component without one is named
+    null. An empty table gives no rows; other columns are ignored.
     """
-    base = materialize(keyed(docs, n, percent), "keyed")
-    classes = base.where("n_shingles > 0").groupBy("lo", "hi").agg(F.min("doc_id").alias("rep"))
-    named = materialize(base.select("doc_id", "n_shingles", "lo", "hi").join(classes, ["lo", "hi"], "left").select("doc_id", "n_shingles", "rep"), "classes")
-    reps = named.where("doc_id = rep").select("doc_id").distinct()
-    keys = base.select("doc_id", "keys").join(reps, "doc_id", "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    rows = materialize(tiles(keys), "tiles")
-    discard(base)
-    _sweep(docs)
-    wanted = rows.select("doc_id").distinct()
-    sets = materialize(sets_of(docs.join(wanted, "doc_id", "left_semi"), n, percent), "sets")
-    _sweep(docs)
-    pivots = rows.groupBy("doc_id").agg(F.min("first").alias("first"), F.min(F.struct(F.xxhash64("second"), "second"))["second"].alias("second"))
-    stars = pivots.select(F.col("doc_id").alias("b"), F.col("first").alias("a")).unionByName(pivots.select(F.col("doc_id").alias("b"), F.col("second").alias("a"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    links = materialize(intersect(screened(stars, sets, percent), sets, percent), "links")
-    labels = components(links)
-    more = materialize(intersect(across(rows, sets, labels, percent), sets, percent), "links")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
-    discard(rows, sets)
-    _sweep(docs)
-    return named.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    base = materialize(digested(docs, n), "digests")
+    nameless = F.lit(NAMELESS).bitwiseOR(F.shiftright("lo", 2).bitwiseAND(F.lit(NAMELESS - 1)))
+    classes = base.where("n_shingles > 0").groupBy("lo", "hi").agg(F.coalesce(F.min("doc_id"), nameless).alias("rep"), F.count(F.lit(1)).alias("copies"))
+    named = materialize(attach(base, classes, ["lo", "hi"], "copies").select("doc_id", "n_shingles", "rep", F.coalesce("doc_id", nameless).alias("node")), "classes")
+    reps = named.where("node = rep").select("node").distinct()
+    rows = materialize(tiles(keyed(docs, n, percent)).join(reps, "node", "left_semi"), "tiles")
+    wanted = mixed(rows.withColumn("component", F.col("node"))).select("node").distinct()
+    bodies = texts(docs).withColumnRenamed("doc_id", "node")
+    unnamed = sets_of(bodies.where("node is null"), n, percent).dropDuplicates(["node"]).join(wanted, "node", "left_semi")
+    sets = materialize(sets_of(bodies.join(wanted, "node", "left_semi"), n, percent).unionByName(unnamed), "sets")
+    labels = linked_components(rows, sets, percent)
+    discard(base, rows, sets)
+    copies = named.where("rep is not null").groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    found = attach(named, materialize(copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left"), "named"), ["rep"], "copies")
+    component = F.coalesce("component", "rep", "doc_id")
+    return found.select("doc_id", "n_shingles", F.when(component < NAMELESS, component).alias("component_id"))
 
 
 def representatives(docs: DataFrame, n: int, percent: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import text_of
+from millrace.llm.common import slices, text_of
 
 WINDOW = 4096
 END_ID = 2
@@ -195,18 +195,6 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` bytes together."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= most:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def pack_stream(docs: Iterable[tuple[int | None, bytes]], first_id: int, window: int = WINDOW, block_tokens: int = 4_000_000) -> Iterator[tuple]:
     """Rows of SCHEMA for (doc_id, ids as bytes with the end id) in a stream."""
     sequence, held, size = first_id, [], 0

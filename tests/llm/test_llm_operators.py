@@ -140,20 +140,44 @@ def test_ngram_join_finds_every_link(spark, n, percent):
     assert got == brute_components(rows, n, percent)
 
 
-def test_large_tiles_are_joined_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+@pytest.mark.parametrize(("small", "rounds"), [(32, 3), (2, 3), (2, 0), (32, 0)])
+def test_large_tiles_are_joined_in_blocks(spark, monkeypatch, small, rounds):
+    for name, value in (("BLOCK", 4), ("SMALL", small), ("ROUNDS", rounds)):
+        monkeypatch.setattr(ngram_join, name, value)
     r = np.random.default_rng(9)
     base = [f"b{i}" for i in range(120)]
     rows = []
     for i in range(40):
         copy = list(base)
-        for at in r.choice(120, 3, replace=False):
+        for at in r.choice(120, 3 if i % 4 else 5, replace=False):
             copy[at] = f"x{i}"
-        rows.append((i, " ".join(copy)))
+        rows.append((i, " ".join(copy + [f"y{i}.{j}" for j in range(i % 9)])))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in ngram_join.join(documents(spark, [(i, t, "s") for i, t in rows])).collect()}
     assert got == brute_components(rows, 4, 85)
 
 
+@pytest.mark.parametrize("percent", [80, 85, 100])
+def test_linked_sets_share_a_tile_and_pass_their_bitmaps(percent):
+    r, bands = np.random.default_rng(percent), ngram_join.Bands(percent)
+    for size in [*range(1, 40), 70, 110, 400, 1500]:
+        a = np.unique(r.integers(0, 2**64, size, dtype=np.uint64))
+        for gone in range(size):
+            for more in {0, gone, size // 5}:
+                if 100 * (size - gone) < percent * (size + more):
+                    continue
+                b = np.unique(np.concatenate([r.permutation(a)[gone:], r.integers(0, 2**64, more, dtype=np.uint64)]))
+                if np.array_equal(a, b):
+                    continue
+                assert {*ngram_join.tile_keys(a, bands)} & {*ngram_join.tile_keys(b, bands)}, (size, gone, more)
+
+
+def test_null_ids_link_as_others_do(spark):
+    words = [f"n{i}" for i in range(60)]
+    rows = [(None, " ".join(words)), (2, " ".join(words[1:])), (7, " ".join(words[:-1])), (None, "a lone text without an id"), (None, "a lone text without an id"), (None, None)]
+    got = sorted((x.n_shingles, x.component_id or 0) for x in ngram_join.join(documents(spark, [(i, t, "s") for i, t in rows])).collect())
+    assert got == [(0, 0), (3, 0), (3, 0), (56, 2), (56, 2), (57, 2)]
+
+
 def test_ngram_join_edges(spark, edge):
     got = ngram_join.join(edge).collect()
     assert len(got) == edge.count()
