@@ -11,6 +11,8 @@ which need no padding.
 
 from __future__ import annotations
 
+import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -129,58 +131,68 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes.
+class Encoder(dict):
+    """Token ids of words as little-endian 32-bit bytes; a word not met before is encoded when it is looked up.
 
     The tokenizer splits at white space before it looks anything up, so a text's ids are its words'
-    ids in turn. Words met before come from a table of at most ``most`` entries. A new word of
-    letters, with or without a mark after it, goes straight to the vocabulary model; any other goes
-    through the whole tokenizer.
+    ids in turn. A word of letters, with or without a mark after it, goes straight to the vocabulary
+    model by its stem; any other goes through the whole tokenizer. Words and stems are kept up to ``most`` each.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    word = staticmethod(re.compile(rb"([A-Za-z]+)([.,;:!?]?)").fullmatch)
+
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.stems, self.most = Tokenizer.from_file(path), {}, {}, most
+        super().__init__()
+        self.tokenizer, self.most, self.stems = Tokenizer.from_file(path), most, {}
         self.model, self.letters = self.tokenizer.model, byte_letters()
-        self.marks = {m: self._whole([m])[0] for m in ".,;:!?"} | {"": b""}
+        self.marks = {m.encode(): self.whole(m) for m in ".,;:!?"} | {b"": b""}
 
-    def _whole(self, words: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def whole(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _stem(self, stem: str) -> bytes:
-        found = self.stems.get(stem)
-        if found is None:
-            symbols = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.letters)
-            found = np.asarray([t.id for t in self.model.tokenize(symbols)], dtype="<u4").tobytes()
-            if len(self.stems) >= self.most:
-                self.stems.clear()
-            self.stems[stem] = found
+    def stem(self, stem: bytes) -> bytes:
+        symbols = stem.decode() if stem.isascii() else stem.decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        self.stems[stem] = found = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def __missing__(self, word: bytes) -> bytes:
+        if match := self.word(word):
+            stem, mark = match.groups()
+            stem = stem.lower()
+        else:
+            mark = word[-1:] if word[-1:] in self.marks else b""
+            text = word[: len(word) - len(mark)].decode()
+            if not text.isalpha() or not unicodedata.is_normalized("NFC", text) or "\u03a3" in text or "\u0130" in text:
+                self[word] = found = self.whole(word.decode())
+                return found
+            stem = text.lower().encode()
+        found = self.stems.get(stem) or self.stem(stem)
+        if mark:
+            found += self.marks[mark]
+        self[word] = found
         return found
 
-    def _new(self, words: list[bytes]) -> dict[bytes, bytes]:
-        out, rest = {}, []
-        for word in words:
-            text = word.decode()
-            mark = text[-1] if text[-1] in self.marks else ""
-            stem = text[:-1] if mark else text
-            if stem.isalpha() and (stem.isascii() or (unicodedata.is_normalized("NFC", stem) and "\u03a3" not in stem and "\u0130" not in stem)):
-                out[word] = self._stem(stem.lower()) + self.marks[mark]
-            else:
-                rest.append(word)
-        return out | dict(zip(rest, self._whole([w.decode() for w in rest])))
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        missing = list({w for ws in words for w in ws}.difference(self.known))
-        if len(missing) > self.most:
-            return [b"".join(b"".join(map(self._new(part).__getitem__, part)) for part in (ws[i : i + 50_000] for i in range(0, len(ws), 50_000))) for ws in words]
-        if len(self.known) + len(missing) > self.most:
-            self.known.clear()
-            missing = list({w for ws in words for w in ws})
-        self.known.update(self._new(missing))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in words]
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        for text in texts:
+            words = text.split()
+            if len(words) <= self.most:
+                yield b"".join(map(self.__getitem__, words))
+            else:  # one text may have more words than the table is to hold
+                parts = []
+                for i in range(0, len(words), self.most):
+                    parts.append(b"".join(map(self.__getitem__, words[i : i + self.most])))
+                    self.trim()
+                yield b"".join(parts)
+            self.trim()
+
+    def trim(self) -> None:
+        if len(self) >= self.most:
+            self.clear()
+        if len(self.stems) >= self.most:
+            self.stems.clear()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -234,7 +246,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer_path)
+        encode = encoder(tokenizer_path).encode
 
         def stream():
             for batch in batches:

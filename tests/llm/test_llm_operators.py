@@ -264,9 +264,9 @@ def test_tightest_window_is_found():
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.text(alphabet="aZé߀Σİ.'!<|endoftxt>1 \n\t\x1ć中", max_size=40), max_size=5))
 def test_encoder_agrees_with_the_tokenizer(texts):
-    encode = packing.encoder(tokenizer_path())
-    got = [np.frombuffer(x, "<u4").tolist() for x in encode([t.encode() for t in texts])]
-    assert got == [encode.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoder = packing.encoder(tokenizer_path())
+    got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode([t.encode() for t in texts])]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # mixing
