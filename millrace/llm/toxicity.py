@@ -84,7 +84,7 @@ def tokens(text: bytes) -> list[bytes]:
 class Lookup:
     """Words' shares by a bounded table of the words met."""
 
-    def __init__(self, net: Net, most: int = 250_000):
+    def __init__(self, net: Net, most: int = 80_000):
         self.net, self.most, self.index = net, most, {}
         self.rows = np.zeros((1, net.filters.shape[1]), np.float32)  # row 0: no word
 
@@ -137,6 +137,12 @@ def scores(texts: list[bytes], lookup: Lookup) -> np.ndarray:
     return 1 / (1 + np.exp(-net.logits(np.concatenate(pooled)).astype(np.float64)))
 
 
+def column_scores(column: pa.Array, lookup: Lookup, rows: int = 500) -> np.ndarray:
+    """Scores of a column of texts, a few hundred of which are held as Python objects at once."""
+    found = [scores([t or b"" for t in column.slice(i, rows).cast(pa.binary()).to_pylist()], lookup) for i in range(0, len(column), rows)]
+    return np.concatenate([np.zeros(0), *found])
+
+
 def train(texts: list[bytes], labels: np.ndarray, steps: int = 1000, rate: float = 0.01, batch: int = 32, seed: int = 7) -> Net:
     """Adam on the logistic loss over whole passes of about ``steps`` steps; a filter learns at the place of its largest value only.
 
@@ -233,7 +239,7 @@ def score_counts(docs: DataFrame, labels: DataFrame, net: Net, trained: list) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(shared.value)
         for batch in batches:
-            place = np.searchsorted(GRID, scores(batch.column(2).to_pylist(), lookup), side="right")
+            place = np.searchsorted(GRID, column_scores(batch.column(2), lookup), side="right")
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(place.astype(np.int32))], names=["doc_id", "lang", "place"])
 
     usable = ~held_out() & F.col("doc_id").isNotNull()
@@ -304,7 +310,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
         model = shared.value
         lookup = Lookup(model)
         for batch in batches:
-            found = scores(batch.column(2).to_pylist(), lookup)
+            found = column_scores(batch.column(2), lookup)
             limits = np.array([model.thresholds.get(x, DECISION) for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(3), pa.array(found, pa.float64()), pa.array((found >= DECISION).astype(np.int32)), pa.array(limits, pa.float64()), pa.array(found >= limits)],
@@ -331,7 +337,7 @@ def keep_clean(docs: DataFrame, net: Net) -> DataFrame:
         model = shared.value
         lookup = Lookup(model)
         for batch in batches:
-            found = scores([(t or "").encode() for t in batch.column(at).to_pylist()], lookup)
+            found = column_scores(batch.column(at), lookup)
             langs = batch.column(lang_at).to_pylist() if lang_at is not None else [None] * len(batch)
             limits = np.array([model.thresholds.get(x, DECISION) for x in langs])
             yield batch.filter(pa.array(found < limits, pa.bool_()))
