@@ -1,26 +1,29 @@
 """Exact deduplication of a new batch against an immutable snapshot.
 
-The snapshot's digests lie in shards, each with a static binary-fuse filter. Incoming digests are
+A snapshot is frozen once: its exact buckets and, for each shard of their digests, a static
+binary-fuse filter are written as tables, and later batches load them. Incoming digests are
 screened by their shard's filter: negatives cannot be in the snapshot, positives join its exact
 buckets. Duplicates inside the batch are grouped separately, and both groupings then meet. Rows
 whose digests agree are compared byte by byte with the row that stays; a digest with any difference
-is grouped anew by its texts. Texts move in that check only; a bucket is aggregated before it is
-shuffled, so a bucket with a third of all rows costs one row a task.
+is grouped anew by its texts. Texts move in that check only. A bucket is aggregated before it is
+shuffled, so one with a third of all rows costs a row a task, and its result reaches its rows by a
+broadcast of the few buckets that can be so large.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fuse
-from millrace.llm.common import materialize, remainder, text_of
+from millrace.llm.common import attach, discard, materialize, remainder, shared_dir, text_of
 
 #: Deleted before texts are compared.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -66,6 +69,22 @@ def shard(rows: DataFrame, shards: int) -> DataFrame:
     return rows.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards).cast("long")))
 
 
+def freeze(rows: DataFrame, path: str) -> None:
+    """Write the buckets and filters of a snapshot's digests (see ``digests``) to ``path``, which must be new."""
+    found = buckets(rows)
+    found.write.parquet(f"{path}/buckets")
+    known = rows.sparkSession.read.schema(found.schema).parquet(f"{path}/buckets")
+    shards = max(1, -(-known.count() // SHARD_KEYS))
+    filters(known, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+
+
+def frozen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
+    """Buckets, filters and number of shards of a snapshot that ``freeze`` wrote."""
+    table = spark.read.parquet(f"{path}/filters")
+    first = table.select("shards").first()
+    return spark.read.parquet(f"{path}/buckets"), table.drop("shards"), first[0] if first else 1
+
+
 def screen(batch: DataFrame, filter_table: DataFrame, shards: int) -> DataFrame:
     """Digests of the batch's buckets that their shard's filter doesn't rule out."""
 
@@ -110,31 +129,51 @@ def dedup(docs: DataFrame, in_batch: Column | None = None, digest_chars: int = 6
     row that bears the staying doc_id; a null doc_id stays only if its group has no other. An empty
     table gives no rows; other columns are ignored. ``digest_chars`` shortens digests in tests.
     """
+    spark = docs.sparkSession
     rows = materialize(digests(docs, remainder(F.col("doc_id"), 2) == 1 if in_batch is None else in_batch, digest_chars), "digests")
-    snapshot, batch = buckets(rows.where("not in_batch")), buckets(rows.where("in_batch"))
-    shards = max(1, -(-rows.count() // SHARD_KEYS))
-    positives = screen(batch, filters(snapshot, shards), shards)
-    groups = materialize(merged(snapshot, batch, positives).select("digest", F.col("best.d").alias("keep_id"), "size"), "buckets")
+    path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    freeze(rows.where("not in_batch"), path)
+    snapshot, filter_table, shards = frozen(spark, path)
+    batch = materialize(buckets(rows.where("in_batch")), "batch")
+    positives = screen(batch, filter_table, shards)
+    groups = materialize(merged(snapshot, batch, positives).select("digest", F.col("best.d").alias("keep_id"), "size", F.col("size").alias("copies")), "groups")
+    discard(batch)
 
     bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).alias("chars"), normalised(text_of()).alias("body"))
     bodies = bodies.withColumn("sha256", F.sha2("body", 256)).withColumn("digest", F.substring("sha256", 1, digest_chars))
     unequal = materialize(differing(bodies, groups.where("size > 1").select("digest")), "unequal")
     if unequal.isEmpty():
-        out = rows.join(groups, "digest")
+        out = attach(rows, groups, ["digest"], "copies")
     else:
         best = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d")))
         exact = bodies.join(unequal, "digest", "left_semi").groupBy("digest", "body", "sha256").agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
-        fixed = exact.select("digest", "sha256", F.col("best.d").alias("keep_id"), "size")
-        out = rows.join(groups.join(unequal, "digest", "left_anti"), "digest").unionByName(rows.join(fixed, ["digest", "sha256"]).select(*rows.columns, "keep_id", "size"))
+        fixed = materialize(exact.select("digest", "sha256", F.col("best.d").alias("keep_id"), "size", F.col("size").alias("copies")), "fixed")
+        whole = attach(rows.join(unequal, "digest", "left_anti"), groups.join(unequal, "digest", "left_anti"), ["digest"], "copies")
+        parts = attach(rows.join(unequal, "digest", "left_semi"), fixed, ["digest", "sha256"], "copies")
+        out = whole.unionByName(parts.select(*whole.columns))
     return out.select(
         "doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha256").alias("text_sha256")
     )
 
 
 def unique(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they are; rows that repeat doc_id and text leave one."""
-    stay = dedup(docs).where("kept").select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """The rows of ``docs`` that stay, all columns as they are; of rows that repeat doc_id and equal texts the longest stays (ties by hash).
+
+    Null, empty and blank texts are equal, as in ``dedup``; an empty table gives no rows. Where no doc_id
+    repeats, the staying ids alone select the rows; only rows that share an id (null is one) are told apart by their texts.
+    """
+    told = materialize(dedup(docs).select("doc_id", "kept", "text_sha256"), "told")
+    again = materialize(told.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias("again")), "again")
+    stay = told.where("kept").select(F.col("doc_id").alias("stays"), "text_sha256")
+    if again.isEmpty():
+        return docs.join(stay.select("stays"), F.col("doc_id").cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    repeats = F.col("doc_id").cast("long").eqNullSafe(F.col("again"))
+    alone = stay.join(again, F.col("stays").eqNullSafe(F.col("again")), "left_anti")
+    single = docs.join(alone, F.col("doc_id").cast("long").eqNullSafe(F.col("stays")), "left_semi")
+    several = docs.join(again, repeats, "left_semi").select(F.col("doc_id").cast("long").alias("_id"), F.sha2(normalised(text_of()), 256).alias("_sha"), F.struct(F.length(text_of()).alias("n"), F.hash(text_of()).alias("h"), F.struct(*[F.col(c) for c in docs.columns]).alias("row")).alias("_row"))
+    best = several.groupBy("_id", "_sha").agg(F.max_by("_row", F.struct(F.col("_row.n"), F.col("_row.h"))).alias("_row"))
+    held = best.join(stay.distinct(), F.col("_id").eqNullSafe(F.col("stays")) & (F.col("_sha") == F.col("text_sha256")), "left_semi")
+    return single.unionByName(held.select("_row.row.*"))
 
 
 ORACLE = """

@@ -2,7 +2,7 @@
 
 One pass finds candidates. Their hashes are counted over distinct repositories and owners: first
 per hash and owner, then per hash, so that a value copied into a third of all documents is summed
-where it was read. A value that several owners hold is a copied example; one that a single owner
+where it was read; its verdict comes back by a broadcast of the few values that can be so frequent. A value that several owners hold is a copied example; one that a single owner
 (or few) hold looks live. Provider patterns beyond the base kinds are reported where they look live.
 """
 
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialize, text_of
+from millrace.llm.common import attach, materialize, text_of
 
 #: Base kinds: pattern, the group whose length counts, its least length. Fixed values.
 BASE = (
@@ -27,9 +27,9 @@ BASE = (
 )
 #: Kinds that the method adds: publicly documented token formats. Fixed values.
 ADDED = (
-    ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")),
+    ("jwt", re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")),
     ("prefixed", re.compile(r"(?:gh[opsur]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35})")),
-    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END (?:[A-Z]+ )?PRIVATE KEY-----")),
+    ("private_key", re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}+-----END (?:[A-Z]+ )?PRIVATE KEY-----")),
 )
 KINDS = tuple(k for k, *_ in BASE) + tuple(k for k, _ in ADDED)
 #: Distinct owners from which a value counts as a copied example.
@@ -96,13 +96,16 @@ def find(docs: DataFrame, owner: str = "source", repository: str = "doc_id", exa
     """One row per row of ``docs``: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_example.
 
     ``spans`` lists the base spans, and added spans whose value looks live; ``n_live`` and ``n_example``
-    count the candidates (base and added) by the verdict. Null texts count as empty and have no spans; repeated rows count as
+    count the candidates (base and added) by the verdict. Spans that start together are listed by kind. Null texts count as empty and have no spans;
+    texts of any length are scanned in time linear in their length; repeated rows count as
     one repository where its name agrees; an empty table gives no rows; other columns are ignored.
     """
     rows = materialize(candidates(docs, owner, repository), "candidates")
     spans = rows.select("row", "owner", "repository", F.inline("found"))
-    verdicts = ownership(spans).select("value", ((F.col("owners") < example_owners) | (F.col("repositories") < example_owners)).alias("live"))
-    judged = spans.join(verdicts, "value")
+    held = materialize(spans, "spans")
+    verdicts = ownership(held).join(held.groupBy("value").agg(F.count(F.lit(1)).alias("copies")), "value")
+    live = (F.col("owners") < example_owners) | (F.col("repositories") < example_owners)
+    judged = attach(held.drop("owner", "repository", "first"), materialize(verdicts.select("value", "copies", live.alias("live")), "verdicts"), ["value"], "copies")
     part = F.concat_ws(":", F.element_at(F.array(*[F.lit(k) for k in KINDS]), F.col("kind") + 1), "start", "end")
     told = F.col("live") | (F.col("kind") < len(BASE))
     per = judged.groupBy("row").agg(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -14,8 +15,11 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from millrace.llm import exact_dedup, fingerprint, fuse, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter
+from millrace.llm.common import attach
 from millrace.llm.components import components
 from millrace.llm.paths import tokenizer_path
 from millrace.llm.registry import ORACLE_SQL, QUERIES
@@ -96,6 +100,29 @@ def test_exact_dedup_edges(spark, edge):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 5, 6, 7, 8]
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    rows = [(1, "one text", "s"), (1, "onetext", "s"), (1, "another", "s"), (2, "another", "s"), (None, "x", "s"), (None, "x", "s"), (None, "y y", "s"), (3, None, "s")]
+    got = exact_dedup.unique(documents(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, "x"), (0, "y y"), (1, "another"), (1, "one text"), (3, "")]
+
+
+def test_a_frozen_snapshot_screens_later_batches(spark, tmp_path):
+    docs = documents(spark, [(i, f"text {i}", "s") for i in range(300)])
+    exact_dedup.freeze(exact_dedup.digests(docs.where("doc_id < 200"), F.lit(False)), str(tmp_path / "snapshot"))
+    buckets, filters, shards = exact_dedup.frozen(spark, str(tmp_path / "snapshot"))
+    batch = exact_dedup.buckets(exact_dedup.digests(docs.where("doc_id >= 150"), F.lit(True)))
+    found = exact_dedup.screen(batch, filters, shards)
+    assert 50 <= found.count() <= 55 and buckets.join(found, "digest", "left_semi").count() == 50
+
+
+def test_hot_keys_are_attached_as_others_are(spark):
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i}") if i % 7 else (i, None) for i in range(3000)], "i int, k string")
+    side = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.max("i").alias("most"))
+    got = attach(rows, side, ["k"], "n", parts=100).collect()
+    want = {r.k: r.most for r in side.collect()}
+    assert sorted((r.i, r.most) for r in got if r.most is not None) == sorted((r.i, want[r.k]) for r in rows.collect() if r.k) and len(got) == 3000
+
+
 # near duplicates
 
 
@@ -370,6 +397,30 @@ def test_secret_spans(spark):
     assert secrets.find(documents(spark, rows).limit(0)).collect() == []
 
 
+def test_secret_spans_against_a_plain_scan(spark, small):
+    """Base spans by the contract's own words: per kind leftmost non-overlapping matches, then the length rules."""
+    kinds = (r"""(?ai:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", r"AKIA[A-Z0-9]+", r"[0-9a-f]+")
+    names, least = ("assign", "access", "hex"), (6, 20, 24)
+    texts = {r[0]: r[1] or "" for r in small["documents"]} | {-1: "password: hunter22 AKIA" + "A" * 16 + " " + "0f" * 12, -2: "Token='abc' SECRET=abcdef passwd =\u017f123456", -3: ""}
+    got = {r.doc_id: r for r in secrets.find(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        spans = []
+        for k, pattern in enumerate(kinds):
+            spans += [(m.start(), k, m.end()) for m in re.finditer(pattern, text) if len(m[2] if k == 0 else m[0]) >= least[k]]
+        listed = [f"{names[k]}:{a}:{b}" for a, k, b in sorted(spans)]
+        assert (got[i].n_assign, got[i].n_access, got[i].n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3)), i
+        assert got[i].base_sha256 == hashlib.sha256(",".join(listed).encode()).hexdigest(), i
+        assert {*listed} <= {*got[i].spans.split(",")} | ({""} if not listed else set()), i
+
+
+@pytest.mark.parametrize("text", ["eyJ" * 300_000, "eyJabcdefgh." * 80_000, "-----BEGIN PRIVATE KEY-----" * 40_000, "password" + " " * 1_000_000, "api_key" * 150_000])
+def test_scans_are_linear(text):
+    began = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - began < 1
+
+
 def test_secret_edges(spark, edge):
     assert len(secrets.find(edge).collect()) == edge.count()
 
