@@ -1,10 +1,12 @@
 """Main-text extraction as a maximum-scoring subsequence.
 
-A page becomes one sequence of words and tags. Words score positive where labelled pages hold
-content and negative where they hold menus, notices and the like, each by its region's kind and by itself; tags score negative. The
-weights are log-odds counted over labelled pages. A content hint in a class, id or role speaks for its
-own blocks and against no others. One linear scan finds the contiguous region with the best
-total; the blocks inside it whose own words score positive are the text.
+A page is read as one sequence of words and tags, in blocks that block-level tags end. A word scores
+by what labelled pages teach about its block: the elements around it and the names these bear, the
+block's own tag, length and links, and the words in it. A logistic model learns these weights, so
+words of the kind that labelled pages hold as content score positive and others negative; tags score
+negative by how often they open boilerplate. One linear scan finds the contiguous region with the best
+total, and the region's blocks are the text, less those that are boilerplate for themselves. No name
+condemns a block: names are features like others, and one that no labelled page has weighs nothing.
 """
 
 from __future__ import annotations
@@ -15,104 +17,127 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import text_of
+from millrace.llm.labelled_pages import labelled_pages
 
 # Element classes of the public HTML standard.
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark math q rp rt ruby s samp small span strike strong sub sup svg time tt u var wbr canvas object".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg select option math object canvas".split())
-BOILERPLATE_TAGS = {"nav": "menu", "menu": "menu", "header": "header", "footer": "footer", "aside": "sidebar", "form": "form", "dialog": "notice", "head": "head", "button": "form", "fieldset": "form"}
-CONTENT_TAGS = frozenset(("article", "main"))
-#: Words of class, id and role attributes by the kind of region they name.
-HINTS = {
-    "menu": "nav navbar navigation menu menubar breadcrumb breadcrumbs toc pagination pager tabs skip",
-    "header": "header masthead banner topbar logo branding",
-    "footer": "footer foot colophon copyright legal contentinfo",
-    "sidebar": "sidebar aside side related recommended recommendations widget widgets rail complementary popular trending more-links tags",
-    "notice": "notice cookie cookies consent gdpr alert popup modal overlay toast newsletter subscribe paywall disclaimer banner-notice",
-    "ad": "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion adsbygoogle adbox",
-    "form": "form search login signup searchbox",
-    "comments": "comment comments discussion disqus replies reply respond commentlist reader-comments",
-    "social": "share sharing social follow author-bio byline-share",
-    "hidden": "hidden sr-only visually-hidden",
-    "content": "article content post entry story body text main maincontent articlebody prose",
-}
-_HINT = {w: kind for kind, words in HINTS.items() for w in words.split()}
-KINDS = ("plain", "link", "content", *dict.fromkeys(BOILERPLATE_TAGS.values()), "ad", "comments", "social", "hidden")
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_TERM = re.compile(r"\w+")
-_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-
-
-def kind_of(tag: str, attributes: str) -> str | None:
-    """The kind of region an element opens, None where it names none."""
-    own = BOILERPLATE_TAGS.get(tag)
-    if own:
-        return own
-    kind = "content" if tag in CONTENT_TAGS else None
-    for name, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), next((v for v in values if v), "").lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
-            return "hidden"
-        if name in ("class", "id", "role"):
-            for word in value.split():
-                parts = [word, *re.split(r"[-_]+", word)] if "-" in word or "_" in word else [word]
-                for part in parts:
-                    hint = _HINT.get(part)
-                    if hint and hint != "content":
-                        return hint
-                    kind = kind or hint
-    return kind
-
-
-@dataclass
+#: Inline elements whose own elements are none of the page's.
+FOREIGN = frozenset(("math", "svg"))
+#: Elements whose content is no text of the page, and form controls.
+RAW = frozenset("script style noscript template iframe textarea title select button".split())
+#: Elements that an opening tag of the same set closes if it is the innermost one.
+SIBLINGS = frozenset("p li dt dd tr td th option".split())
+
+_NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
+_TERM = re.compile(r"\w+|©")
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: Words of names that say what a page has or lacks, not what an element is.
+_STATES = frozenset("no has with without is not".split())
+#: Share of the page's words from which an element's features are those of a large element.
+LARGE = 0.5
+#: Block score from which a region's block is kept, and the least that a block's words score together.
+KEEP, FLOOR = -0.5, -2.0
+
+
+@dataclass(slots=True)
+class Element:
+    """An open block element: its features, and the page's words before and up to its end."""
+
+    tag: str
+    names: tuple[str, ...]
+    begin: int = 0
+    end: int = 0
+
+
+@dataclass(slots=True)
 class Block:
-    """Text between two block tags, with its region's kind, its words inside and outside links and the tags before it."""
+    """Text between two block tags."""
 
-    kind: str
-    nested: bool = False  # boilerplate or text inside a content container
+    tag: str = ""
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     words: int = 0
-    tags: list[str] = field(default_factory=list)
-
-
-def blocks(page: str) -> list[Block]:
-    """The page's blocks in order. Comments, declarations, scripts, styles and other raw elements hold no text."""
-    out = [Block("plain")]
-    stack: list[tuple[str, str | None]] = []
-    kind, nested, links, at = "plain", False, 0, 0
-    size = len(page)
-
-    def text(piece: str) -> None:
-        block = out[-1]
-        block.parts.append(piece)
+    opened: list[str] = field(default_factory=list)
+
+
+@lru_cache(maxsize=20_000)
+def names_of(attributes: str) -> tuple[str, ...]:
+    """Features of an element's class, id and role: whole names, and the parts of compound names."""
+    out = []
+    for _, *values in _ATTRIBUTE.findall(attributes):
+        for name in next((v for v in values if v), "").lower().split():
+            out.append(f"n:{name}")
+            parts = re.split(r"[-_]+", name)
+            if len(parts) > 1 and parts[0] not in _STATES:
+                out += [f"f:{parts[0]}", *(f"l:{p}" for p in parts[1:])]
+    return tuple(dict.fromkeys(out))
+
+
+def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]], list[Element]]:
+    """Blocks; the steps (1 element opens, -1 it ends, 0 a block begins) in page order; all elements. Linear in the page's length."""
+    out, elements = [Block()], []
+    steps: list[tuple[int, Element | None]] = [(0, None)]
+    stack: list[Element] = []
+    open_tags: Counter[str] = Counter()
+    words, links, foreign, at, size, quoted = 0, 0, 0, 0, len(page), True
+
+    def text(piece: str) -> int:
+        out[-1].parts.append(piece)
         n = len(piece.split())
-        block.words += n
+        out[-1].words += n
         if links:
-            block.linked += n
+            out[-1].linked += n
+        return n
+
+    def close(element: Element) -> None:
+        element.end = words
+        open_tags[element.tag] -= 1
+        steps.append((-1, element))
 
     while at < size:
-        match = _TOKEN.search(page, at)
-        if match is None:
-            text(page[at:])
+        here = page.find("<", at)
+        if here < 0:
+            words += text(page[at:])
             break
-        if match.start() > at:
-            text(page[at : match.start()])
-        at = match.end()
-        tag = match[2]
-        if tag is None:
+        if here > at:
+            words += text(page[at:here])
+        if page.startswith("<!--", here):
+            end = page.find("-->", here + 4)
+            at = size if end < 0 else end + 3
             continue
-        tag, closing = tag.lower(), match[1] == "/"
+        if page.startswith(("<!", "<?"), here):
+            end = page.find(">", here)
+            at = size if end < 0 else end + 1
+            continue
+        name = _NAME.match(page, here + 1)
+        if name is None:
+            words += text("<")
+            at = here + 1
+            continue
+        rest = _REST.match(page, name.end()) if quoted else None
+        if rest is None:  # a quote that never ends: from here on quotes do not shelter a ">"
+            quoted = False
+            end = page.find(">", name.end())
+            at = size if end < 0 else end + 1
+            attributes = page[name.end() : max(name.end(), at - 1)] if end >= 0 else ""
+        else:
+            at = rest.end()
+            attributes = page[name.end() : at - 1]
+        tag, closing = name[1].lower(), page[here + 1] == "/"
         if tag in RAW:
-            if not closing and not match[3].endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if not closing and not attributes.endswith("/"):
+                end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else size
             continue
         if tag == "br":
@@ -120,85 +145,146 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "a":
             links = 0 if closing else 1
-        if tag in INLINE and not (tag == "span" and match[3]):
+        if tag in FOREIGN:
+            foreign = max(0, foreign + (-1 if closing else not attributes.endswith("/")))
+        if tag in INLINE or foreign:
             continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                del stack[depth:]
-        elif tag not in VOID and not match[3].endswith("/"):
-            if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                stack.pop()
-            stack.append((tag, kind_of(tag, match[3])))
-        kind, nested = region(stack)
-        if tag != "span":
-            links = 0
-            out.append(Block(kind, nested))
-            out[-1].tags.append(f"/{tag}" if closing else tag)
-        elif kind != out[-1].kind:
-            out.append(Block(kind, nested))
-    return out
-
-
-def region(stack: list[tuple[str, str | None]]) -> tuple[str, bool]:
-    """The outermost boilerplate kind on the stack, else content, else plain; and whether a content container holds it. A header inside an article holds its title."""
-    inside = False
-    for tag, kind in stack:
-        if kind == "content":
-            inside = True
-        elif kind and not (inside and tag == "header"):
-            return kind, inside
-    return ("content" if inside else "plain"), inside
+            if open_tags[tag]:
+                while True:
+                    element = stack.pop()
+                    close(element)
+                    if element.tag == tag:
+                        break
+        elif tag not in VOID and not attributes.endswith("/"):
+            if tag in SIBLINGS and stack and stack[-1].tag == tag:
+                close(stack.pop())
+            stack.append(Element(tag, names_of(attributes) if attributes else (), words))
+            elements.append(stack[-1])
+            open_tags[tag] += 1
+            steps.append((1, stack[-1]))
+        links = 0
+        out.append(Block(stack[-1].tag if stack else ""))
+        out[-1].opened.append(f"/{tag}" if closing else tag)
+        steps.append((0, None))
+    while stack:
+        close(stack.pop())
+    return out, steps, elements
 
 
-@dataclass(frozen=True)
-class Weights:
-    """Scores of a word by its region's kind and by itself, and of a tag by its name."""
+def clean(block: Block) -> str:
+    return " ".join(html.unescape("".join(block.parts)).split())
 
-    words: dict[str, float]
-    tags: dict[str, float]
-    tag: float
-    terms: dict[str, float] = field(default_factory=dict)
+
+def around(element: Element, total: int) -> tuple[str, ...]:
+    """Features that an element gives to the blocks in it; a large one's are told apart."""
+    large = "+" if element.end - element.begin >= LARGE * total else ""
+    return (f"e:{element.tag}{large}", *(f"{n}{large}" for n in element.names))
+
+
+def shape(block: Block, line: str) -> tuple[str, ...]:
+    """Features of a block's own form."""
+    n = block.words
+    length = "1" if n < 3 else "3" if n < 8 else "8" if n < 20 else "20"
+    link = "link" if 2 * block.linked > n else "plain"
+    return (f"b:{block.tag}", f"s:{length}", f"s:{link}", f"s:{'end' if line[-1:] in '.!?:;…。' else 'open'}")
 
 
 def terms_of(line: str) -> list[str]:
     return _TERM.findall(line.lower())
 
 
-def learn(labelled: list[tuple[str, str]], smooth: float = 1.0, tag_least: float = -3.0, term_most: float = 1.0) -> Weights:
-    """Log-odds of content over boilerplate from (page, its main text).
+@dataclass(frozen=True)
+class Weights:
+    """Log-odds of features; of terms, by their share of a block's words; of tags that open blocks."""
 
-    A word's kind is weighed by how many of its words are in the main text; a tag by how many of the
-    blocks it opens are, shifted so that no tag scores above a small loss. A word itself is weighed by
-    its share of the main text's words over its share of the others, if two different blocks hold it;
-    words never met weigh nothing.
+    features: dict[str, float]
+    terms: dict[str, float]
+    tags: dict[str, float]
+    tag: float = -0.05
+
+    def of(self, name: str) -> float:
+        """A feature's weight; a large element's is that of any element where none was learned for it."""
+        return self.features.get(name, self.features.get(name.rstrip("+"), 0.0))
+
+    def of_terms(self, line: str) -> float:
+        terms = terms_of(line)
+        return sum(self.terms.get(t, 0.0) for t in terms) / max(1, len(terms))
+
+
+def block_scores(page: str, weights: Weights) -> tuple[list[str], list[float], list[Block]]:
+    """Lines, the score of a word in each, and the blocks. What surrounds a block is summed as elements open and end."""
+    found, steps, _ = parse(page)
+    total = max(1, sum(b.words for b in found))
+    active: Counter[str] = Counter()
+    lines, scores, at, context = [], [], 0, weights.features.get("bias", 0.0)
+    for step, element in steps:
+        if element is None:
+            block = found[at]
+            at += 1
+            line = clean(block) if block.words else ""
+            own = sum(weights.features.get(f, 0.0) for f in shape(block, line)) + weights.of_terms(line) if line else 0.0
+            lines.append(line)
+            scores.append(max(-4.0, min(4.0, context + own)))
+            continue
+        for name in around(element, total):
+            weight = weights.of(name)
+            if not weight:
+                continue
+            active[name] += step
+            if active[name] == (1 if step > 0 else 0):
+                context += step * weight
+    return lines, scores, found
+
+
+def learn(labelled: list[tuple[str, str]], rounds: int = 800, rate: float = 1.0, ridge: float = 3e-5, least: int = 4) -> Weights:
+    """Weights from (page, its main text): a logistic model over blocks, every feature seen in ``least`` blocks or more.
+
+    A term's value in a block is its share of the words, so one word does not turn a long paragraph. A
+    tag's weight is the log-odds that a block it opens is content, shifted so that no tag scores above a small loss.
     """
-    good, bad, tag_good, tag_bad, term_good, term_bad = Counter(), Counter(), Counter(), Counter(), Counter(), Counter()
-    held: dict[str, set[str]] = {}
+    rows: list[tuple[dict[str, float], int]] = []
+    seen: Counter[str] = Counter()
+    tag_good, tag_bad = Counter(), Counter()
     for page, main in labelled:
-        lines = Counter(main.split("\n"))
-        for block in blocks(page):
-            line = clean(block)
+        wanted = Counter(main.split("\n"))
+        found, steps, _ = parse(page)
+        total = max(1, sum(b.words for b in found))
+        active: Counter[str] = Counter()
+        at = 0
+        for step, element in steps:
+            if element is not None:
+                for name in around(element, total):
+                    active[name] += step
+                continue
+            block = found[at]
+            at += 1
+            line = clean(block) if block.words else ""
             if not line:
                 continue
-            hit = lines[line] > 0
-            lines[line] -= hit
-            (good if hit else bad)["link" if 2 * block.linked > block.words else block.kind] += block.words
-            (tag_good if hit else tag_bad).update(t.lstrip("/") for t in block.tags)
-            (term_good if hit else term_bad).update(terms_of(line))
-            for t in set(terms_of(line)):
-                held.setdefault(t, set()).add(line)
-    odds = lambda a, b: math.log((a + smooth) / (b + smooth))
-    words = {k: max(-2.0, min(2.0, odds(good[k], bad[k]))) for k in {*good, *bad}}
-    tags = {t: max(tag_least, min(-0.05, odds(tag_good[t], tag_bad[t]) - 1.0)) / 4 for t in {*tag_good, *tag_bad}}
-    size = smooth * len(held)
-    base = odds(term_good.total() + size, term_bad.total() + size)
-    terms = {t: max(-term_most, min(term_most, odds(term_good[t], term_bad[t]) - base)) for t, lines in held.items() if len(lines) > 1}
-    return Weights(words, tags, -0.25, terms)
-
-
-def clean(block: Block) -> str:
-    return " ".join(html.unescape("".join(block.parts)).split())
+            hit = wanted[line] > 0
+            wanted[line] -= hit
+            terms = terms_of(line)
+            values = {f: 1.0 for f, n in active.items() if n > 0} | {f: 1.0 for f in shape(block, line)} | {f"t:{t}": 5 * n / len(terms) for t, n in Counter(terms).items()}
+            rows.append((values, int(hit)))
+            seen.update(values)
+            (tag_good if hit else tag_bad).update(t.lstrip("/") for t in block.opened)
+    columns = {f: i for i, f in enumerate([*(f for f, n in seen.items() if n >= least), "bias"])}
+    cells = [(i, columns[f], v) for i, (values, _) in enumerate(rows) for f, v in [*values.items(), ("bias", 1.0)] if f in columns]
+    at_row, at_column, value = (np.array(c) for c in zip(*cells)) if cells else (np.zeros(0, np.int64),) * 3
+    y = np.array([hit for _, hit in rows], np.float64)
+    balance = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) if len(rows) else y
+    w, speed = np.zeros(len(columns)), np.zeros(len(columns))
+    for _ in range(rounds if len(rows) else 0):
+        p = 1 / (1 + np.exp(-np.bincount(at_row, value * w[at_column], len(rows))))
+        slope = np.bincount(at_column, value * ((p - y) * balance)[at_row], len(w)) / len(rows) + ridge * w
+        speed = 0.9 * speed - rate * slope
+        w += speed
+    learned = {f: float(w[i]) for f, i in columns.items()}
+    terms = {f[2:]: 5 * v for f, v in learned.items() if f.startswith("t:")}
+    odds = {t: math.log((tag_good[t] + 1) / (tag_bad[t] + 1)) for t in {*tag_good, *tag_bad}}
+    tags = {t: max(-1.5, min(-0.25, v - 1.0)) / 6 for t, v in odds.items()}
+    return Weights({f: v for f, v in learned.items() if not f.startswith("t:")} , terms, tags)
 
 
 def best(scores: list[float]) -> tuple[int, int]:
@@ -214,50 +300,19 @@ def best(scores: list[float]) -> tuple[int, int]:
 
 
 def main_text(page: str, weights: Weights) -> str:
-    """The page's main text: the region's content blocks in page order, one a line."""
-    parsed = blocks(page)
-    lines = [clean(b) if b.words else "" for b in parsed]
-    scores, worth = [], []
-    for block, line in zip(parsed, lines):
-        kind = "link" if block.words and block.kind == "plain" and 2 * block.linked > block.words else block.kind
-        word = weights.words.get(kind, -1.0)
-        if kind in ("plain", "content", "link"):  # named boilerplate stays what it is
-            terms = terms_of(line)
-            word += sum(weights.terms.get(t, 0.0) for t in terms) / max(1, len(terms))
-        worth.append(word)
-        # boilerplate inside an article must not cost the article's other half: it is left out all the same
-        tags = sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.tags)
-        scores.append(tags / 8 + max(word * block.words, -0.25) if block.nested else tags + max(word * block.words, -3.0))
-    begin, end = best(scores)
-    return "\n".join(line for line, w in zip(lines[begin:end], worth[begin:end]) if w > 0 and line)
-
-
-def labelled_pages() -> list[tuple[str, str]]:
-    """Small labelled pages written for this purpose: common layouts with and without marked containers."""
-    story = ["A short heading", "The first paragraph tells what happened and where it did, at some length.", "Another one adds the reasons, and a few numbers such as 12 or 40.", "The last says what may follow."]
-    body = f"<h1>{story[0]}</h1>" + "".join(f"<p>{p}</p>" for p in story[1:])
-    menu = '<nav><ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About us</a></li></ul></nav>'
-    plain_menu = '<div class="navbar"><a href="/a">Home</a> <a href="/b">World news</a> <a href="/c">Contact</a></div>'
-    advert = '<div class="ad">Buy two of these and save more than ever before.</div>'
-    notice = '<div class="cookie-notice">We use cookies to improve this site and for statistics.</div>'
-    side = '<aside><h3>Related</h3><ul><li><a href="/r">Another story that you may like</a></li></ul></aside>'
-    side_box = '<div class="sidebar"><p>Most read today is listed in this box.</p></div>'
-    form = '<form action="/s"><label>Your address</label><input name="q"><button>Send it</button></form>'
-    remarks = '<section id="comments"><h2>Comments</h2><div class="comment"><p>I do not agree with this at all, sorry.</p></div></section>'
-    share = '<div class="share">Share this page with your friends</div>'
-    header = "<header><div>The Daily Page</div><p>All the news of the day</p></header>"
-    footer = "<footer>&copy; The Daily Page &middot; all rights reserved in every country.</footer>"
-    text = "\n".join(story)
-    pages = [
-        (f"<html><body>{header}{menu}{advert}<article>{body}</article>{footer}</body></html>", text),
-        (f"<html><body>{plain_menu}{notice}<main>{body}{remarks}</main>{side}{footer}</body></html>", text),
-        (f"<html><body>{menu}<div id='content'>{body}{share}{form}</div>{side_box}{footer}</body></html>", text),
-        (f"<html><body>{header}<div>{body}</div>{form}{advert}{footer}</body></html>", text),
-        (f"<html><body>{plain_menu}<table><tr><td>{body}</td></tr></table>{side}{remarks}</body></html>", text),
-        (f"<html><body><div class='post'>{body}<ul><li>One point</li><li>Another point</li></ul><blockquote>Said by one.</blockquote></div>{notice}{footer}</body></html>", text + "\nOne point\nAnother point\nSaid by one."),
-        (f"<html><body><p>{story[1]}<p>{story[2]}{footer}</body></html>", "\n".join(story[1:3])),
-    ]
-    return pages * 3
+    """The page's main text: the best region's blocks in page order, one a line."""
+    lines, scores, found = block_scores(page, weights)
+    totals = []
+    for block, score in zip(found, scores):
+        tags = sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.opened)
+        totals.append(tags + max(FLOOR, score * block.words))
+    begin, end = best(totals)
+    return "\n".join(line for line, score in zip(lines[begin:end], scores[begin:end]) if line and score > KEEP)
+
+
+@lru_cache(maxsize=1)
+def learned() -> Weights:
+    return learn(labelled_pages())
 
 
 def extract(pages: DataFrame, labelled: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -265,10 +320,11 @@ def extract(pages: DataFrame, labelled: list[tuple[str, str]] | None = None) ->
 
     The text is the article: references decoded, white space inside a block made one space, blocks
     trimmed and joined by one line feed. Null, empty and wordless pages give the empty text; broken markup is read
-    as far as it goes (an unclosed comment, script or tag ends the page); repeated rows are extracted each; an empty table gives no rows; other
-    columns are ignored.
+    as far as it goes (an unclosed comment, script or style ends the page; a quote that never ends shelters nothing). Pages of
+    any length and depth are read whole in linear time. Of regions with equal totals the first is taken; repeated rows
+    are extracted each; an empty table gives no rows; other columns are ignored.
     """
-    weights = learn(labelled or labelled_pages())
+    weights = learn(labelled) if labelled else learned()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
