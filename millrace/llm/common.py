@@ -37,12 +37,23 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends at the files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    write(df, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out
 
 
+def write(df: DataFrame, path: str) -> None:
+    """Write a table in files of the advisory size: a small one takes few tasks, not one for every core."""
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.coalescePartitions.parallelismFirst"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:

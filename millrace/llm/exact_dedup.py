@@ -17,13 +17,12 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fuse
-from millrace.llm.common import attach, discard, materialize, remainder, shared_dir, text_of
+from millrace.llm.common import attach, discard, materialize, remainder, shared_dir, text_of, write
 
 #: Deleted before texts are compared.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -58,11 +57,11 @@ def buckets(rows: DataFrame) -> DataFrame:
 def filters(snapshot: DataFrame, shards: int) -> DataFrame:
     """One binary-fuse filter a shard of the snapshot's bucket keys."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
+    def run(group: pa.Table) -> pa.Table:
         seed, segment, segments, cells = fuse.build(group["key"].to_numpy())
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "seed": [seed], "segment": [segment], "segments": [segments], "cells": [cells]})
+        return pa.table({"shard": [group["shard"][0].as_py()], "seed": [seed], "segment": [segment], "segments": [segments], "cells": pa.array([cells], pa.binary())})
 
-    return shard(snapshot.select("key"), shards).groupBy("shard").applyInPandas(run, "shard long, seed long, segment long, segments long, cells binary")
+    return shard(snapshot.select("key"), shards).groupBy("shard").applyInArrow(run, "shard long, seed long, segment long, segments long, cells binary")
 
 
 def shard(rows: DataFrame, shards: int) -> DataFrame:
@@ -72,10 +71,10 @@ def shard(rows: DataFrame, shards: int) -> DataFrame:
 def freeze(rows: DataFrame, path: str) -> None:
     """Write the buckets and filters of a snapshot's digests (see ``digests``) to ``path``, which must be new."""
     found = buckets(rows)
-    found.write.parquet(f"{path}/buckets")
+    write(found, f"{path}/buckets")
     known = rows.sparkSession.read.schema(found.schema).parquet(f"{path}/buckets")
     shards = max(1, -(-known.count() // SHARD_KEYS))
-    filters(known, shards).withColumn("shards", F.lit(shards)).write.parquet(f"{path}/filters")
+    write(filters(known, shards).withColumn("shards", F.lit(shards)), f"{path}/filters")
 
 
 def frozen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
@@ -88,14 +87,14 @@ def frozen(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, int]:
 def screen(batch: DataFrame, filter_table: DataFrame, shards: int) -> DataFrame:
     """Digests of the batch's buckets that their shard's filter doesn't rule out."""
 
-    def run(ours: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+    def run(ours: pa.Table, theirs: pa.Table) -> pa.Table:
         if not len(ours) or not len(theirs):
-            return ours.iloc[:0][["digest"]]
-        f = theirs.iloc[0]
-        return ours[fuse.contains(ours["key"].to_numpy(), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["cells"])][["digest"]]
+            return ours.select(["digest"]).slice(0, 0)
+        f = theirs.to_pylist()[0]
+        return ours.select(["digest"]).filter(pa.array(fuse.contains(ours["key"].to_numpy(), f["seed"], f["segment"], f["segments"], f["cells"])))
 
     incoming = shard(batch.select("digest", "key"), shards)
-    return incoming.groupBy("shard").cogroup(filter_table.groupBy("shard")).applyInPandas(run, "digest string")
+    return incoming.groupBy("shard").cogroup(filter_table.groupBy("shard")).applyInArrow(run, "digest string")
 
 
 def merged(snapshot: DataFrame, batch: DataFrame, positives: DataFrame) -> DataFrame:
