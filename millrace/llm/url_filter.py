@@ -3,8 +3,9 @@
 A list's dated entries (value, action, day) become validity intervals: an "add" holds until the
 value's next entry. A value is a host with all its subdomains, or a host with a path prefix. Every capture is
 looked up under each host suffix and path prefix it has, and the as-of join takes for each the
-interval in force on the day of fetching. Only keys and days are shuffled, and captures of one key
-and day are joined once, so a host with a third of all pages costs a row a day.
+interval in force on the day of fetching. Only keys and days are shuffled. Which intervals hold on a
+day is found once for all captures of a key and day; the captures of a key and day with a third of all
+rows meet their one interval in a join whose hot side Spark splits.
 """
 
 from __future__ import annotations
@@ -12,12 +13,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)"
+#: Hosts that are addresses have no parent domains.
+ADDRESS = r"^(\[.*|[0-9]+(\.[0-9]+)*)$"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)"
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host of an absolute URL without credentials, port and final dot; null if there is none."""
+    """Lower-case host of an absolute URL without credentials, port and final dot, an IPv6 address in its brackets; null if there is none."""
     found = F.rtrim(F.lower(F.regexp_extract(url, HOST, 1)), F.lit("."))
     return F.when(found != "", found)
 
@@ -34,6 +37,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.withColumn("until", following).where("action = 'add'").select("value", F.col("day").alias("since"), "until")
 
 
+def segments(path: Column) -> Column:
+    return F.filter(F.split(path, "/"), lambda p: p != "")
+
+
 def keys_of(host: Column, path: Column, depths: Column) -> Column:
     """Values that a capture is looked up under: host suffixes of two labels or more, and host with as many first path segments as ``depths`` names.
 
@@ -41,8 +48,9 @@ def keys_of(host: Column, path: Column, depths: Column) -> Column:
     """
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    parts = F.filter(F.split(path, "/"), lambda p: p != "")
+    domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
+    suffixes = F.when(host.rlike(ADDRESS), F.array(host)).otherwise(domains)
+    parts = segments(path)
     fitting = F.filter(depths, lambda d: d <= F.size(parts))
     prefixes = F.transform(fitting, lambda d: F.concat(host, F.lit("/"), F.array_join(F.slice(parts, F.lit(1), d), "/")))
     return F.array_distinct(F.concat(suffixes, F.coalesce(prefixes, F.array().cast("array<string>"))))
@@ -51,8 +59,8 @@ def keys_of(host: Column, path: Column, depths: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per distinct capture (page_id, url, day): with host, blocked, matched (the longest value in force, ties by value) and listed_since.
 
-    A capture without an absolute URL or a day matches nothing and is not blocked. Repeated captures
-    count once; entries with a null value or day are void; without entries nothing is blocked; no captures give no rows; other
+    A capture without an absolute URL or a day matches nothing and is not blocked. URLs of any length and depth are looked up
+    whole. Repeated captures count once; entries with a null value or day are void; without entries nothing is blocked; no captures give no rows; other
     columns are ignored.
     """
     rows = captures.select("page_id", "url", "day").distinct().withColumn("host", host_of(F.col("url")))
@@ -79,8 +87,16 @@ def dated(pages: DataFrame) -> DataFrame:
 
 
 def example_list(pages: DataFrame) -> DataFrame:
-    """A dated list over the hosts of ``pages``: a quarter of them is added, later removed, and every other of these added again."""
-    hosts = pages.select(host_of(F.col("url").cast("string")).alias("value")).where("value is not null").distinct()
+    """A dated list from ``pages``: hosts, their registered domains, and hosts with one or two path segments.
+
+    A quarter of these values is added, later removed, and every other of them added again.
+    """
+    url = F.col("url").cast("string")
+    named = pages.select(host_of(url).alias("host"), segments(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))).alias("parts")).where("host is not null").distinct()
+    labels = F.split("host", r"\.")
+    domain = F.when((F.size(labels) > 2) & ~F.col("host").rlike(ADDRESS), F.array_join(F.slice(labels, F.size(labels) - 1, F.lit(2)), "."))
+    prefix = lambda n: F.when(F.size("parts") >= n, F.concat("host", F.lit("/"), F.array_join(F.slice("parts", 1, n), "/")))
+    hosts = named.select(F.explode(F.array("host", domain, prefix(1), prefix(2))).alias("value")).where("value is not null").distinct()
     listed = hosts.where(F.pmod(_number(F.col("value"), 1), F.lit(4)) == 0).withColumn("start", F.pmod(_number(F.col("value"), 7), F.lit(400)).cast("int")).withColumn("length", (F.pmod(_number(F.col("value"), 13), F.lit(200)) + 30).cast("int"))
     first = F.lit("2023-01-01").cast("date")
     entry = lambda action, after: F.struct(F.lit(action).alias("action"), F.date_add(first, after).alias("day"))
@@ -98,10 +114,19 @@ def filter_pages(pages: DataFrame) -> DataFrame:
 ORACLE = """
 WITH captures AS (
   SELECT DISTINCT page_id, url, DATE '2023-01-01' + ((page_id * 37) % 730)::INTEGER AS day,
-         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '.'), '') AS host,
-         regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1) AS path
+         nullif(rtrim(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\\[[^\\]/?#]*\\]|[^/?#:]+)', 1)), '.'), '') AS host,
+         list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(/[^?#]*)', 1), '/'), lambda p: p <> '') AS parts
   FROM pages),
-hosts AS (SELECT DISTINCT host AS value, md5(host) AS h FROM captures WHERE host IS NOT NULL),
+labelled AS (
+  SELECT *, string_split(host, '.') AS labels, regexp_matches(host, '^(\\[.*|[0-9]+(\\.[0-9]+)*)$') AS address
+  FROM captures WHERE host IS NOT NULL),
+hosts AS (
+  SELECT DISTINCT value, md5(value) AS h
+  FROM (SELECT unnest([host, CASE WHEN len(labels) > 2 AND NOT address THEN array_to_string(labels[-2:], '.') END,
+                       CASE WHEN len(parts) >= 1 THEN host || '/' || parts[1] END,
+                       CASE WHEN len(parts) >= 2 THEN host || '/' || parts[1] || '/' || parts[2] END]) AS value
+        FROM labelled)
+  WHERE value IS NOT NULL),
 listed AS (
   SELECT value, (('0x' || h[7:12])::BIGINT % 400)::INTEGER AS start, (('0x' || h[13:18])::BIGINT % 200 + 30)::INTEGER AS length,
          ('0x' || h[19:24])::BIGINT % 2 = 0 AS again
@@ -111,8 +136,10 @@ spans AS (
   UNION ALL
   SELECT value, DATE '2023-01-01' + start + length + 60, NULL FROM listed WHERE again),
 looked AS (
-  SELECT page_id, url, day, unnest([array_to_string(string_split(host, '.')[i:], '.') FOR i IN range(1, greatest(len(string_split(host, '.')), 2))]) AS value
-  FROM captures WHERE host IS NOT NULL),
+  SELECT page_id, url, day, unnest(list_concat(
+           CASE WHEN address THEN [host] ELSE [array_to_string(labels[i:], '.') FOR i IN range(1, greatest(len(labels), 2))] END,
+           [host || '/' || array_to_string(parts[:d], '/') FOR d IN range(1, least(len(parts), 2) + 1)])) AS value
+  FROM labelled),
 hits AS (
   SELECT page_id, url, day, max({'length': length(value), 'value': value, 'since': since}) AS best
   FROM looked JOIN spans USING (value)

@@ -611,6 +611,15 @@ def test_url_filter_looks_up_every_prefix_in_its_own_case(spark):
     assert got == {i: m for i, (_, m) in enumerate(urls)}
 
 
+def test_addresses_and_edges_of_captures(spark):
+    entries = spark.createDataFrame([("[2001:db8::1]",), ("0.1",), ("10.0.0.1/a",), ("bad.org",)], "value string").selectExpr("value", "'add' AS action", "DATE '2024-01-01' AS day")
+    urls = [("http://[2001:DB8::1]:80/x", "[2001:db8::1]"), ("http://[2001:db8::2]/", None), ("http://10.0.0.1/b", None), ("http://10.0.0.1:8080/a/b", "10.0.0.1/a"), (None, None), ("http://bad.org/" + "a/" * 5000, "bad.org"), ("", None)]
+    rows = [(i, u) for i, (u, _) in enumerate(urls)]
+    captures = spark.createDataFrame(rows + rows[:3], "page_id long, url string").selectExpr("page_id", "url", "DATE '2024-02-01' AS day", "'x' AS value", "'y' AS host", "1 AS since")
+    got = [(r.page_id, r.matched) for r in url_filter.evaluate(captures, entries).collect()]
+    assert sorted(got) == [(i, m) for i, (_, m) in enumerate(urls)]
+
+
 # pipeline
 
 
