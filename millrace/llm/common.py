@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -54,6 +55,18 @@ def write(df: DataFrame, path: str) -> None:
         conf.set(name, before)
 
 
+#: Rows and bytes of an Arrow batch that texts are handed to Python in.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """From now on at most ``BATCH`` rows and bytes go to Python at once, however long the texts; lower settings stay."""
+    for name, most in BATCH.items():
+        now = int(re.sub(r"\D", "", spark.conf.get(name) or "") or 0)
+        if now <= 0 or now > most:
+            spark.conf.set(name, str(most))
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     for df in tables:

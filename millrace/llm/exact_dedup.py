@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import fuse
-from millrace.llm.common import attach, discard, materialize, remainder, shared_dir, text_of, write
+from millrace.llm.common import attach, bound_batches, discard, materialize, remainder, shared_dir, text_of, write
 
 #: Deleted before texts are compared.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
@@ -128,6 +128,7 @@ def dedup(docs: DataFrame, in_batch: Column | None = None, digest_chars: int = 6
     row that bears the staying doc_id; a null doc_id stays only if its group has no other. An empty
     table gives no rows; other columns are ignored. ``digest_chars`` shortens digests in tests.
     """
+    bound_batches(docs.sparkSession)
     spark = docs.sparkSession
     rows = materialize(digests(docs, remainder(F.col("doc_id"), 2) == 1 if in_batch is None else in_batch, digest_chars), "digests")
     path = f"{shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, discard, materialize, slices, text_of
+from millrace.llm.common import attach, bound_batches, discard, materialize, slices, text_of
 from millrace.llm.components import components
 
 SHINGLE, PERCENT = 4, 85
@@ -38,6 +38,8 @@ RATIO, WEAKEST = 1.25, 0.08
 BITS, WIDE = 4, 16
 #: Rounds in which a document meets one member of another component; members up to which a tile is small; members of a large tile's block.
 ROUNDS, SMALL, BLOCK = 3, 32, 512
+#: Pairs up to which their ids are broadcast, so that only their sets are shuffled.
+FEW_PAIRS = 200_000
 #: From here on nodes stand for classes whose only doc_id is null.
 NAMELESS = 1 << 62
 _U = np.uint64
@@ -232,16 +234,24 @@ def may_link(a: str, b: str, percent: int) -> Column:
     return enough(F.least(c(a, "size"), c(b, "size"))) & fits
 
 
+def sets_for(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sets to shuffle for the written table ``pairs``: those of its ids where these are few enough to broadcast, else all."""
+    if pairs.limit(FEW_PAIRS + 1).count() > FEW_PAIRS:
+        return sets
+    ids = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+    return sets.join(F.broadcast(ids), "node", "left_semi")
+
+
 def screened(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs that their bitmaps leave possible."""
-    maps = sets.drop("marks")
+    maps = sets_for(pairs, sets.drop("marks"))
     rows = pairs.alias("p").join(maps.alias("x"), F.col("p.a") == F.col("x.node")).join(maps.alias("y"), F.col("p.b") == F.col("y.node"))
     return rows.where(may_link("x", "y", percent)).select("p.a", "p.b")
 
 
 def intersect(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity, by exact intersection of sorted arrays."""
-    marks = sets.select("node", "marks")
+    marks = sets_for(pairs, sets.select("node", "marks"))
     rows = pairs.join(marks.select(F.col("node").alias("a"), F.col("marks").alias("ma")), "a").join(marks.select(F.col("node").alias("b"), F.col("marks").alias("mb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,11 +358,11 @@ def linked_components(rows: DataFrame, sets: DataFrame, percent: int) -> DataFra
     for turn in range(ROUNDS + 1):
         named = rows.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
         rows = materialize(mixed(named), "mixed")
-        pairs = meetings(rows, turn) if turn < ROUNDS else remaining(rows, sets, percent)
-        links = materialize(intersect(screened(pairs, sets, percent), sets, percent), "links")
+        pairs = materialize(meetings(rows, turn), "pairs") if turn < ROUNDS else remaining(rows, sets, percent)
+        possible = materialize(screened(pairs, sets, percent), "possible")
+        links = materialize(intersect(possible, sets, percent), "links")
+        discard(pairs, possible)
         held += [rows, links, labels]
-        if turn == ROUNDS and turn:
-            discard(pairs)
         if rows.isEmpty():
             break
         rows = rows.select("key", "node")
@@ -377,6 +387,7 @@ def join(docs: DataFrame, n: int = SHINGLE, percent: int = PERCENT) -> DataFrame
     as one. A null doc_id links as any other and names no component that has another id; a component without one is named
     null. An empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     base = materialize(digested(docs, n), "digests")
     nameless = F.lit(NAMELESS).bitwiseOR(F.shiftright("lo", 2).bitwiseAND(F.lit(NAMELESS - 1)))
     classes = base.where("n_shingles > 0").groupBy("lo", "hi").agg(F.coalesce(F.min("doc_id"), nameless).alias("rep"), F.count(F.lit(1)).alias("copies"))

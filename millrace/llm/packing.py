@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, text_of
+from millrace.llm.common import bound_batches, slices, text_of
 
 WINDOW = 4096
 END_ID = 2
@@ -243,6 +243,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
     repeated doc_ids are packed row by row; an empty table gives no rows; other columns are ignored.
     Sequence ids are unique: the number of the input partition times 2**32 and a running number.
     """
+    bound_batches(docs.sparkSession)
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import remainder, text_of
+from millrace.llm.common import bound_batches, remainder, text_of
 
 BUCKETS, DIM, WIDTHS, FILTERS = 1 << 15, 8, (1, 2, 3), 8
 #: At most so many toxic rows, and twice as many others, are read for training.
@@ -234,6 +234,7 @@ def calibrated(counts: dict[str | None, np.ndarray], totals: dict[str | None, np
 def score_counts(docs: DataFrame, labels: DataFrame, net: Net, trained: list) -> tuple[dict[str | None, np.ndarray], dict[str | None, np.ndarray]]:
     """What ``calibrated`` reads, over every labelled row outside the held-out quarter. Only ids, languages and places on GRID are shuffled; ``trained`` is bounded by the sample."""
     spark = docs.sparkSession
+    bound_batches(spark)
     shared = spark.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,6 +305,7 @@ def score(docs: DataFrame, net: Net) -> DataFrame:
     was calibrated), which the score itself never sees. Null texts count as empty and score like any text without words; repeated rows
     are scored each; an empty table gives no rows; other columns are ignored.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,6 +331,7 @@ def classify(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFram
 
 def keep_clean(docs: DataFrame, net: Net) -> DataFrame:
     """The rows of ``docs``, all columns and types as they are, whose score lies below their language's threshold."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(net)
     names = docs.columns
     at, lang_at = names.index("text"), names.index("lang") if "lang" in names else None
