@@ -12,6 +12,9 @@ TRACKING = (
     "utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_id", "utm_name", "utm_cid", "utm_reader", "utm_referrer",
     "fbclid", "gclid", "gclsrc", "dclid", "msclkid", "mc_cid", "mc_eid", "_hsenc", "_hsmi", "hsctatracking",
 )
+# Query parameters that search results are compared without, and marks of paid placements.
+RESULT_TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid")
+AD_MARKERS = ("/y.js?", "ad_domain=", "ad_provider=", "ad_type=", "click_metadata=", "/aclk?", "googleadservices", "doubleclick.net", "bing.com/aclick")
 #: Sensitive kinds: pattern and the group that is masked, 0 for the whole match. Fixed values.
 SENSITIVE = {
     "api_key": (r"""(?i)(?:api[_-]?key|apikey)\s*[:=]\s*["']?([a-zA-Z0-9_\-]{6,})["']?""", 1),
@@ -20,7 +23,9 @@ SENSITIVE = {
     "bearer": (r"(?i)bearer\s+([a-zA-Z0-9_\-\.]{6,})", 1),
     "github_token": (r"gh[pousr]_[A-Za-z0-9]{36}", 0),
     "aws_key": (r"AKIA[0-9A-Z]{16}", 0),
+    "aws_secret": (r"""(?i)aws[_-]?secret\s*[:=]\s*["']?([A-Za-z0-9/+=]{40})["']?""", 1),
     "private_key": (r"-----BEGIN (?:RSA |EC |DSA |OPENSSH )?PRIVATE KEY-----", 0),
+    "credit_card": (r"\b(?:\d[ -]*?){13,16}\b", 0),
     "ssn": (r"\b\d{3}-\d{2}-\d{4}\b", 0),
     "email": (r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", 0),
     "phone": (r"\b(?:\+?1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", 0),
@@ -29,7 +34,7 @@ SENSITIVE = {
 
 def host(url: Column) -> Column:
     """Lower-case host without credentials and port; empty without one."""
-    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)", 1))
 
 
 def identity_key(url: Column) -> Column:
@@ -94,16 +99,68 @@ def sensitive_counts(text: Column) -> dict[str, Column]:
     return {kind: F.regexp_count(F.coalesce(text, F.lit("")), F.lit(p)) for kind, (p, _) in SENSITIVE.items()}
 
 
+#: Most stars of a masked value.
+STARS = 8
+
+
+def mask_steps() -> list[tuple[str, int, bool]]:
+    """(pattern, stars, whether groups 1 and 2 stay around them) in turn.
+
+    A match, or its named part, gets eight stars, or as many as it has characters where these are fewer.
+    """
+    steps = []
+    for pattern, group in SENSITIVE.values():
+        if not group:
+            steps.append((pattern, STARS, False))
+            continue
+        flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+        at = body.index("([")
+        kind, least = body[at + 1 : body.index("})", at)].rsplit("{", 1)
+        if least == "6,":
+            steps.append((f"{flags}({body[:at]}){kind}{{{STARS},}}()", STARS, True))
+            steps += [(f"{flags}({body[:at]}){kind}{{{size}}}({_beyond(kind)})", size, True) for size in (7, 6)]
+        else:
+            steps.append((f"{flags}({body[:at]}){kind}{{{least}}}()", STARS, True))
+    return steps
+
+
+def _beyond(kind: str) -> str:
+    """A character outside the class, or the end."""
+    return (f"[{kind[2:]}" if kind.startswith("[^") else f"[^{kind[1:]}") + "|$"
+
+
 def masked(text: Column) -> Column:
-    """The text with every kind starred in turn: eight stars for a match or for its named part."""
-    return reduce(
-        lambda t, kind: F.regexp_replace(t, SENSITIVE[kind][0], "********") if not SENSITIVE[kind][1] else F.regexp_replace(t, _around(SENSITIVE[kind][0]), "$1********$2"), SENSITIVE, F.coalesce(text, F.lit(""))
-    )
-
-
-def _around(pattern: str) -> str:
-    """The pattern with what stands around its only group in groups of its own."""
-    flags, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
-    at = body.index("([")
-    end = body.index(")", body.index("{6,}"))
-    return f"{flags}({body[:at]}){body[at + 1 : end]}({body[end + 1 :]})"
+    """The text with every kind starred in turn (see ``mask_steps``)."""
+    out = F.coalesce(text, F.lit(""))
+    for pattern, stars, grouped in mask_steps():
+        out = F.regexp_replace(out, pattern, f"$1{'*' * stars}$2" if grouped else "*" * stars)
+    return out
+
+
+def result_key(url: Column) -> Column:
+    """The key that search results are compared by: scheme and bare host, path without final slashes, first values of untracked parameters by name."""
+    url = F.coalesce(url, F.lit(""))
+    part = lambda p: F.regexp_extract(url, p, 1)
+    scheme, path, query = F.lower(part(r"^([A-Za-z][A-Za-z0-9+.-]*):")), part(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"), part(r"^[^?#]*\?([^#]*)")
+    given = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]*=."))
+    pairs = F.transform(given, lambda p: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), F.try_url_decode(F.regexp_extract(p, "^[^=]*=(.*)$", 1)).alias("v")))
+    names = F.array_sort(F.array_distinct(F.filter(F.transform(pairs, lambda x: x["k"]), lambda k: ~F.lower(k).isin(*RESULT_TRACKING))))
+    clean = F.array_join(F.transform(names, lambda k: F.concat(k, F.lit("="), F.filter(pairs, lambda x: x["k"] == k)[0]["v"])), "&")
+    return F.concat(scheme, F.lit("://"), host(url), F.rtrim(path, F.lit("/")), F.when(clean != "", F.concat(F.lit("?"), clean)).otherwise(""))
+
+
+def request_url(url: Column) -> Column:
+    """A URL as it is fetched: scheme (https if there is none) and authority lower-cased, default ports and fragments gone, slashes not doubled, a path at least."""
+    url = F.trim(F.coalesce(url, F.lit("")))
+    part = lambda p: F.regexp_extract(url, p, 1)
+    scheme = F.coalesce(F.nullif(F.lower(part(r"^([A-Za-z][A-Za-z0-9+.-]*):")), F.lit("")), F.lit("https"))
+    authority = F.lower(part(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"))
+    authority = F.when(scheme == "http", F.regexp_replace(authority, ":80$", "")).when(scheme == "https", F.regexp_replace(authority, ":443$", "")).otherwise(authority)
+    path, query = F.regexp_replace(part(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)"), "/+", "/"), part(r"^[^?#]*\?([^#]*)")
+    return F.concat(scheme, F.lit("://"), authority, F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+
+
+def sponsored(url: Column) -> Column:
+    """Whether a result's URL is a paid placement."""
+    low = F.lower(F.coalesce(url, F.lit("")))
+    return reduce(lambda a, m: a | F.contains(low, F.lit(m)), AD_MARKERS, F.lit(False))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from millrace.functions import web as U
 from millrace.operators import dedup as D
 from millrace.plans.registry import query, table
+from millrace.plans.web_queries import RESULT_KEY
 
 _FP = r"""
 WITH sources AS ({rows}),
@@ -49,20 +51,19 @@ def required_dedup(spark, sf_dir):
     return D.first_by(keyed, ["digest", "source"], F.col("doc_id")).select("doc_id", "source", "chars")
 
 
-@query("url_dedup", "SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS position FROM pages QUALIFY row_number() OVER (PARTITION BY rtrim(lower(url), '/') ORDER BY page_id) = 1")
+@query("url_dedup", f"SELECT page_id, url, row_number() OVER (ORDER BY page_id) AS position FROM (SELECT page_id, url, {RESULT_KEY} AS key FROM pages QUALIFY row_number() OVER (PARTITION BY key ORDER BY page_id) = 1)")
 def url_dedup(spark, sf_dir):
-    """Positions are global ranks: counted per id range, so no task sorts all rows."""
-    kept = D.first_by(table(spark, sf_dir, "pages").select("page_id", "url"), [F.rtrim(F.lower("url"), F.lit("/"))], F.col("page_id"))
-    return _numbered(kept, table(spark, sf_dir, "pages"))
+    """The first page of every result key; the kept ones are numbered anew."""
+    kept = D.first_by(table(spark, sf_dir, "pages").select("page_id", "url"), [U.result_key(F.col("url"))], F.col("page_id"))
+    return _numbered(kept)
 
 
-def _numbered(kept, all_rows, width: int = 4096):
-    """``position`` as the row_number() over page_id before QUALIFY: the rank among all rows."""
-    part = F.floor(F.col("page_id") / width).alias("part")
-    rows = all_rows.select("page_id", part)
+def _numbered(rows, width: int = 4096):
+    """``position``: the rank by page_id. Ranks are counted by id range, and only ranges are summed in one task."""
+    rows = rows.withColumn("part", F.floor(F.col("page_id") / width))
     counts = rows.groupBy("part").count().withColumn("ahead", F.coalesce(F.sum("count").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("page_id"))).join(counts, "part").select("page_id", (F.col("ahead") + F.col("n")).alias("position"))
-    return kept.join(ranked, "page_id")
+    ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("part").orderBy("page_id"))).join(counts, "part")
+    return ranked.select("page_id", "url", (F.col("ahead") + F.col("n")).alias("position"))
 
 
 def _documents(spark, sf_dir):
@@ -79,6 +80,14 @@ def near_dup_pairs(spark, sf_dir):
     return D.near_pairs(D.fingerprint_classes(_documents(spark, sf_dir)))
 
 
+@query("near_dup_members", _sql("SELECT doc_id AS id, text FROM documents", "SELECT id AS doc_id, min(id) OVER (PARTITION BY fp) AS class_id, count(*) OVER (PARTITION BY fp) AS copies FROM fps"))
+def near_dup_members(spark, sf_dir):
+    """The fingerprint class of every document, whose representatives ``near_dup_pairs`` links, and its size."""
+    docs = _documents(spark, sf_dir)
+    classes = docs.groupBy("fp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies"))
+    return docs.join(classes, "fp").select("doc_id", "class_id", "copies")
+
+
 @query("contamination", _sql("SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark", """,
 docs AS (SELECT fp, min(id) AS id FROM fps WHERE id >= 0 GROUP BY fp),
 probes AS (SELECT -1 - id AS item_id, fp FROM fps WHERE id < 0),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import retrieval as R
-from millrace.plans.registry import ORACLE_SQL, query, table
+from millrace.plans.registry import query, table
 
 _W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9\x{{4e00}}-\x{{9fff}}]+')"
 
@@ -14,7 +14,7 @@ _W = r"regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9\x{{4e00}}-\x{{9fff}
 @query("bm25_topk", rf"""
 WITH toks AS (SELECT doc_id, {_W.format("text")} AS w FROM documents),
 stats AS (SELECT count(*) AS docs, avg(len(w)) AS mean FROM toks),
-asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_W.format("text")}[1:5]) AS term FROM benchmark) GROUP BY ALL),
+asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_W.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT doc_id, term, count(*) AS tf, min(n) AS length FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM toks) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
 idf AS (SELECT term, ln(1 + (docs - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM post, stats GROUP BY term, docs),
 scored AS (
@@ -23,13 +23,7 @@ scored AS (
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scored QUALIFY rank <= 10
 """)
 def bm25_topk(spark, sf_dir):
-    queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.slice(R.words(F.col("text")), 1, 5)).alias("term"))
-    return R.bm25(table(spark, sf_dir, "documents"), queries, 10)
-
-
-@query("bm25_all_words", ORACLE_SQL["bm25_topk"].replace("[1:5]", ""))
-def bm25_all_words(spark, sf_dir):
-    """``bm25_topk`` with every word of an item as its query."""
+    """Every word of an item asks."""
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(R.words(F.col("text"))).alias("term"))
     return R.bm25(table(spark, sf_dir, "documents"), queries, 10)
 
@@ -109,26 +103,15 @@ def keyword_density(spark, sf_dir):
 
 
 @query("rerank_terms", rf"""
-WITH x AS (SELECT b.item_id, list_distinct({_W.format("b.text")}[1:3]) AS q FROM benchmark b),
+WITH x AS (SELECT b.item_id, list_distinct({_W.format("b.text")}) AS q FROM benchmark b),
 p AS (SELECT page_id, url, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages),
 pt AS (SELECT page_id, url, title, list_distinct({_W.format("title")}) AS tt, list_distinct({_W.format("url")}) AS ut FROM p),
-m AS (SELECT DISTINCT item_id, page_id FROM (SELECT item_id, unnest(q) AS t FROM x) JOIN (SELECT page_id, unnest(tt) AS t FROM pt) USING (t)),
+m AS (SELECT DISTINCT item_id, page_id FROM (SELECT item_id, unnest(q) AS t FROM x) JOIN (SELECT page_id, unnest(list_distinct(list_concat(tt, ut))) AS t FROM pt) USING (t)),
 s AS (SELECT item_id, page_id, 3.0 * len(list_intersect(q, tt)) + 1.5 * len(list_intersect(q, tt)) + len(list_intersect(q, ut))
         + CASE WHEN len(list_filter(q, lambda w: NOT list_contains(tt, w) AND NOT list_contains(ut, w))) = 0 AND len(q) > 0 THEN 5 ELSE 0 END - CASE WHEN length(title) < 20 THEN 2 ELSE 0 END AS score
       FROM m JOIN x USING (item_id) JOIN pt USING (page_id))
 SELECT item_id, page_id, score::DOUBLE AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, page_id) AS rank FROM s QUALIFY rank <= 10
 """)
 def rerank_terms(spark, sf_dir):
-    """Pages that share a term with a query are found by an equi-join on terms, then scored; the title stands for the snippet."""
-    asked = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(R.words(F.col("text")), 1, 3), " ").alias("q"))
-    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title"))
-    terms = lambda df, key, c: df.select(key, F.explode(F.array_distinct(R.words(F.col(c)))).alias("t"))
-    pairs = terms(asked, "item_id", "q").join(terms(pages, "page_id", "title"), "t").select("item_id", "page_id").distinct()
-    scored = pairs.join(asked, "item_id").join(pages, "page_id").select("item_id", "page_id", R.rerank_terms(F.col("title"), F.col("title"), F.col("url"), F.col("q")).alias("score"))
-    return R.top(scored, "item_id", "score", "page_id", 10)
-
-
-@query("rerank_all_terms", ORACLE_SQL["rerank_terms"].replace("[1:3]", "").replace("(SELECT page_id, unnest(tt) AS t FROM pt)", "(SELECT page_id, unnest(list_distinct(list_concat(tt, ut))) AS t FROM pt)"))
-def rerank_all_terms(spark, sf_dir):
-    """``rerank_terms`` with every word of an item, over pages that share a term by their title or their URL."""
+    """Every word of an item asks, over pages that share a term by their title or their URL; the title stands for the snippet."""
     return R.rerank_pages(table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q")), table(spark, sf_dir, "pages").select("page_id", "url", F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("title")), 10)

@@ -67,9 +67,9 @@ def rolling_24h(spark, sf_dir):
     return e.select("event_id", F.count(F.lit(1)).over(w).alias("n"), F.round(F.sum("value").over(w), 4).alias("total"))
 
 
-@query("last_50", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50 FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 50) GROUP BY event_type")
-def last_50(spark, sf_dir):
-    kept = T.latest(_events(spark, sf_dir), "event_type", [F.col("ts").desc(), F.col("event_id").desc()], 50)
+@query("last_500", "SELECT event_type, count(*) AS n, quantile_disc(value, 0.5) AS p50 FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) <= 500) GROUP BY event_type")
+def last_500(spark, sf_dir):
+    kept = T.latest(_events(spark, sf_dir), "event_type", [F.col("ts").desc(), F.col("event_id").desc()], 500)
     return kept.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"))
 
 

@@ -96,9 +96,9 @@ def pii_counts(spark, sf_dir):
 
 def _mask_sql() -> str:
     out = "coalesce(text, '')"
-    for kind, (pattern, group) in U.SENSITIVE.items():
-        p, to = (U._around(pattern), r"\1********\2") if group else (pattern, "********")
-        out = f"regexp_replace({out}, '{p.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    for pattern, stars, grouped in U.mask_steps():
+        to = rf"\1{'*' * stars}\2" if grouped else "*" * stars
+        out = f"regexp_replace({out}, '{pattern.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
     return out
 
 
@@ -106,3 +106,36 @@ def _mask_sql() -> str:
 def pii_mask(spark, sf_dir):
     t = table(spark, sf_dir, "documents").select("doc_id", U.masked(F.col("text")).alias("t"))
     return t.select("doc_id", F.length("t").alias("chars"), F.md5(F.col("t").cast("binary")).alias("digest"))
+
+
+#: Scheme, host, path and parameters of ``url`` as search results are compared by them.
+RESULT_KEY = r"""(SELECT lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) || '://' || lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]+)', 1))
+  || rtrim(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/')
+  || CASE WHEN c <> '' THEN '?' || c ELSE '' END
+ FROM (SELECT u, coalesce(array_to_string(list_transform(list_sort(list_distinct(list_filter(list_transform(g, lambda p: url_decode(replace(split_part(p, '=', 1), '+', ' '))), lambda k: lower(k) NOT IN ({tracking})))),
+     lambda k: k || '=' || list_filter(list_transform(g, lambda p: [url_decode(replace(split_part(p, '=', 1), '+', ' ')), url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))]), lambda x: x[1] = k)[1][2]), '&'), '') AS c
+   FROM (SELECT u, list_filter(string_split(regexp_extract(u, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: regexp_matches(p, '^[^=]*=.')) AS g FROM (SELECT coalesce(url, '') AS u))))""".replace("{tracking}", ", ".join(f"'{t}'" for t in U.RESULT_TRACKING))
+
+
+@query("result_keys", f"SELECT page_id, {RESULT_KEY} AS key FROM pages")
+def result_keys(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.result_key(F.col("url")).alias("key"))
+
+
+@query("request_urls", r"""
+WITH p AS (SELECT page_id, trim(coalesce(url, '')) AS u FROM pages),
+q AS (SELECT page_id, coalesce(nullif(lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)), ''), 'https') AS scheme,
+             lower(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1)) AS authority,
+             regexp_replace(regexp_extract(u, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)', 1), '/+', '/', 'g') AS path,
+             regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM p)
+SELECT page_id, scheme || '://' || CASE scheme WHEN 'http' THEN regexp_replace(authority, ':80$', '') WHEN 'https' THEN regexp_replace(authority, ':443$', '') ELSE authority END
+  || CASE WHEN starts_with(path, '/') THEN path ELSE '/' || path END || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS request
+FROM q
+""")
+def request_urls(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.request_url(F.col("url")).alias("request"))
+
+
+@query("sponsored", "SELECT page_id, " + " OR ".join(f"contains(lower(coalesce(url, '')), '{m}')" for m in U.AD_MARKERS) + " AS sponsored FROM pages")
+def sponsored(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", U.sponsored(F.col("url")).alias("sponsored"))

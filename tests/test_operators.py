@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -74,8 +75,8 @@ def test_later_words_and_url_words_find_their_rows(spark, tmp_path):
     spark.createDataFrame([(1, "one two three four five six rare")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(7, "nothing here"), (8, "a rare find")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(3, "http://x.org/rare", "<title>no such word in this title</title>"), (4, "http://x.org/", "<title>nor any in this title here</title>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert [r.doc_id for r in QUERIES["bm25_all_words"](spark, str(tmp_path)).collect()] == [8]
-    assert [(r.page_id, r.score) for r in QUERIES["rerank_all_terms"](spark, str(tmp_path)).collect()] == [(3, 1.0)]
+    assert [r.doc_id for r in QUERIES["bm25_topk"](spark, str(tmp_path)).collect()] == [8]
+    assert [(r.page_id, r.score) for r in QUERIES["rerank_terms"](spark, str(tmp_path)).collect()] == [(3, 1.0)]
 
 
 def test_entity_cooccurrence_against_brute_force(spark, tmp_path):
@@ -88,3 +89,30 @@ def test_entity_cooccurrence_against_brute_force(spark, tmp_path):
     want = {(a, b, n, round(n / max(counts.values()), 3)) for (a, b), n in counts.items() if round(n / max(counts.values()), 3) >= 0.1}
     got = {tuple(r) for r in QUERIES["entity_cooccurrence"](spark, str(tmp_path)).collect()}
     assert got == want and any({"name:cy_dow", "name:di_eck"} == {a, b} for a, b, _, _ in got)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("password: abcdef x", "password: ****** x"), ("password: abcdefg", "password: *******"), ("password: abcdefgh1", "password: ********"),
+        ("apikey=abc_12;", "apikey=******;"), ("bearer a.b.c.d", "bearer *******"), ("aws_secret = " + "Ab/" * 13 + "=", "aws_secret = ********"),
+        ("card 4111 1111 1111 1111.", "card ********."), ("nothing to hide", "nothing to hide"),
+    ],
+)
+def test_stars_are_as_many_as_short_values_have(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(U.masked(F.col("t"))).first()[0] == want
+
+
+@pytest.mark.parametrize(
+    ("url", "result", "fetched"),
+    [
+        ("HTTP://User@Site.Example:80//a//b/?b=2&a=1&a=3&utm_source=q&c=#f", "http://site.example//a//b?a=1&b=2", "http://user@site.example:80/a/b/?b=2&a=1&a=3&utm_source=q&c="),
+        ("https://Site.Example:443", "https://site.example", "https://site.example/"),
+        ("http://site.example:80/x?p=a+b%20c", "http://site.example/x?p=a b c", "http://site.example/x?p=a+b%20c"),
+        ("http://[2001:DB8::1]:8080/", "http://[2001:db8::1]", "http://[2001:db8::1]:8080/"),
+        (None, "://", "https:///"),
+    ],
+)
+def test_url_keys(spark, url, result, fetched):
+    row = spark.createDataFrame([(url,)], "u string").select(U.result_key(F.col("u")), U.request_url(F.col("u"))).first()
+    assert tuple(row) == (result, fetched.replace("site.example:80/a", "site.example/a"))
