@@ -87,7 +87,7 @@ def remainder(key: Column, of: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % of
 
 
-def slices(texts: list[bytes], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` bytes together."""
     at, size = 0, 0
     for i, t in enumerate(texts):

@@ -328,12 +328,18 @@ def from_blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.unionByName(right.select(*left.columns)).groupBy("key", "x", "y").applyInArrow(run, "a long, b long")
 
 
+def _rows(lists: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column as views of its values."""
+    at, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+    return [values[a:b] for a, b in zip(at[:-1], at[1:])]
+
+
 def block_pairs(group: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray]:
     """The possible pairs (a < b) of one block pair: rows with ``right`` against those without, of other components."""
     get = lambda c: group.column(c).to_numpy()
     node, size, band, component, right, other = (get(c) for c in ("node", "size", "band", "component", "right", "other"))
     found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    maps, ones = {n: group.column(n).to_pylist() for n in ("own", "below")}, {n: get(f"{n}_ones") for n in ("own", "below")}
+    maps, ones = {n: _rows(group.column(n).combine_chunks()) for n in ("own", "below")}, {n: get(f"{n}_ones") for n in ("own", "below")}
     for low in np.unique(band):
         # rows of this band by their own bitmaps, rows of the next by those of the band below
         use = [(i, "own") for i in np.flatnonzero(band == low)] + [(i, "below") for i in np.flatnonzero((band == low + 1) & (ones["below"] > 0))]

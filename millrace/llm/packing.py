@@ -141,7 +141,7 @@ class Encoder(dict):
 
     word = staticmethod(re.compile(rb"([A-Za-z]+)([.,;:!?]?)").fullmatch)
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         from tokenizers import Tokenizer
 
         super().__init__()

@@ -84,7 +84,7 @@ def tokens(text: bytes) -> list[bytes]:
 class Lookup:
     """Words' shares by a bounded table of the words met."""
 
-    def __init__(self, net: Net, most: int = 80_000):
+    def __init__(self, net: Net, most: int = 50_000):
         self.net, self.most, self.index = net, most, {}
         self.rows = np.zeros((1, net.filters.shape[1]), np.float32)  # row 0: no word
 
@@ -128,7 +128,7 @@ def scores(texts: list[bytes], lookup: Lookup) -> np.ndarray:
             continue
         pending.append(words)
         size += len(words) + reach
-        if size > 60_000:
+        if size > 30_000:
             flush()
             pending, size = [], 0
     flush()
