@@ -188,6 +188,11 @@ class Encoder(dict):
                 yield b"".join(parts)
             self.trim()
 
+    def forget(self) -> None:
+        """Empty the tables: the worker that holds them may serve other stages for long."""
+        self.clear()
+        self.stems.clear()
+
     def trim(self) -> None:
         if len(self) >= self.most:
             self.clear()
@@ -247,7 +252,8 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
     end = np.asarray([END_ID], dtype="<u4").tobytes()
 
     def run(batches):
-        encode = encoder(tokenizer_path).encode
+        own = encoder(tokenizer_path)
+        encode = own.encode
 
         def stream():
             for batch in batches:
@@ -268,6 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, block_token
                 rows = []
         if rows:
             yield batch_of(rows)
+        own.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().cast("binary").alias("text")).mapInArrow(run, SCHEMA)
 
