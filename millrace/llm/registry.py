@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter
+from millrace.llm import chat, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter
 from millrace.llm.common import table
 from millrace.llm.paths import tokenizer_path
 
@@ -77,6 +77,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_pages(table(spark, sf_dir, "pages"))
 
 
+@query("op11_chat_format", chat.ORACLE)
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.formatted_chats(table(spark, sf_dir, "conversations"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
