@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from millrace.llm import chat, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, toxicity, url_filter
+from millrace.llm import audit, chat, exact_dedup, fingerprint, html_text, mixing, ngram_join, packing, quality, secrets, spelling, toxicity, url_filter
 from millrace.llm.common import table
 from millrace.llm.paths import tokenizer_path
 
@@ -82,6 +82,16 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_chats(table(spark, sf_dir, "conversations"), tokenizer_path("byte_bpe_50k.tiktoken"))
 
 
+@query("op12_filter_audit", audit.ORACLE)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op13_spelling")
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
