@@ -2,21 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Temporary folders of local sessions without a shared one, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a local master without one gets a temporary folder."""
+    """The folder named in ``spark.checkpoint.dir``; a local master without one gets a temporary folder of its own.
+
+    The setting cannot be changed in a running session, so that folder is remembered here.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        path = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):  # "local-cluster" has executors of its own
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="millrace-")
+    return _LOCAL[app]
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
