@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.storage import shared_dir
+
 #: ASCII white space as the contracts write it.
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
@@ -19,21 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
-
-    Only a local master may go without the setting: then a temporary folder is made and set.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = tempfile.mkdtemp(prefix="millrace-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends at the files."""
     spark = df.sparkSession
