@@ -5,7 +5,9 @@ by what labelled pages teach about its block: the elements around it and the nam
 block's own tag, length and links, and the words in it. A logistic model learns these weights, so
 words of the kind that labelled pages hold as content score positive and others negative; tags score
 negative by how often they open boilerplate. One linear scan finds the contiguous region with the best
-total, and the region's blocks are the text, less those that are boilerplate for themselves. No name
+total; runs inside it that score less than ``-HOLE`` are left out as holes, each of which costs that
+much. So neither a block's score nor its size decides alone: a block that scores below zero stays where the
+text goes on around it, and one above zero goes where boilerplate parts it from the text. No name
 condemns a block: names are features like others, and one that no labelled page has weighs nothing.
 """
 
@@ -37,6 +39,9 @@ RAW = frozenset("script style noscript template iframe textarea title select but
 #: Elements that an opening tag of the same set closes if it is the innermost one.
 SIBLINGS = frozenset("p li dt dd tr td th option".split())
 
+#: Elements that only a wrapper of the page or of its article holds.
+LANDMARKS = frozenset("article main nav footer".split())
+
 _NAME = re.compile(r"/?([a-zA-Z][a-zA-Z0-9:-]*)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>")
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
@@ -44,20 +49,19 @@ _TERM = re.compile(r"\w+|©")
 _ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Words of names that say what a page has or lacks, not what an element is.
 _STATES = frozenset("no has with without is not".split())
-#: Share of the page's words from which an element's features are those of a large element.
-LARGE = 0.5
-#: Block score from which a region's block is kept, and the least that a block's words score together.
-KEEP, FLOOR = -0.5, -2.0
+#: Scale of a term's share of its block, against features that are 1: the smaller, the less a term can weigh.
+TERM_SCALE = 3.0
+#: What a hole in the region costs, in units of a word's score.
+HOLE = 3.0
 
 
 @dataclass(slots=True)
 class Element:
-    """An open block element: its features, and the page's words before and up to its end."""
+    """A block element: the features of its names, and whether it holds a landmark."""
 
     tag: str
     names: tuple[str, ...]
-    begin: int = 0
-    end: int = 0
+    wraps: bool = False
 
 
 @dataclass(slots=True)
@@ -84,34 +88,34 @@ def names_of(attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]], list[Element]]:
-    """Blocks; the steps (1 element opens, -1 it ends, 0 a block begins) in page order; all elements. Linear in the page's length."""
-    out, elements = [Block()], []
+def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]]]:
+    """Blocks, and the steps (1 element opens, -1 it ends, 0 a block begins) in page order. Linear in the page's length."""
+    out = [Block()]
     steps: list[tuple[int, Element | None]] = [(0, None)]
     stack: list[Element] = []
     open_tags: Counter[str] = Counter()
-    words, links, foreign, at, size, quoted = 0, 0, 0, 0, len(page), True
+    links, foreign, at, size, quoted = 0, 0, 0, len(page), True
 
-    def text(piece: str) -> int:
+    def text(piece: str) -> None:
         out[-1].parts.append(piece)
         n = len(piece.split())
         out[-1].words += n
         if links:
             out[-1].linked += n
-        return n
 
     def close(element: Element) -> None:
-        element.end = words
+        if stack and (element.wraps or element.tag in LANDMARKS):
+            stack[-1].wraps = True
         open_tags[element.tag] -= 1
         steps.append((-1, element))
 
     while at < size:
         here = page.find("<", at)
         if here < 0:
-            words += text(page[at:])
+            text(page[at:])
             break
         if here > at:
-            words += text(page[at:here])
+            text(page[at:here])
         if page.startswith("<!--", here):
             end = page.find("-->", here + 4)
             at = size if end < 0 else end + 3
@@ -122,7 +126,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]], lis
             continue
         name = _NAME.match(page, here + 1)
         if name is None:
-            words += text("<")
+            text("<")
             at = here + 1
             continue
         rest = _REST.match(page, name.end()) if quoted else None
@@ -159,8 +163,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]], lis
         elif tag not in VOID and not attributes.endswith("/"):
             if tag in SIBLINGS and stack and stack[-1].tag == tag:
                 close(stack.pop())
-            stack.append(Element(tag, names_of(attributes) if attributes else (), words))
-            elements.append(stack[-1])
+            stack.append(Element(tag, names_of(attributes) if attributes else ()))
             open_tags[tag] += 1
             steps.append((1, stack[-1]))
         links = 0
@@ -169,17 +172,17 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, Element | None]], lis
         steps.append((0, None))
     while stack:
         close(stack.pop())
-    return out, steps, elements
+    return out, steps
 
 
 def clean(block: Block) -> str:
     return " ".join(html.unescape("".join(block.parts)).split())
 
 
-def around(element: Element, total: int) -> tuple[str, ...]:
-    """Features that an element gives to the blocks in it; a large one's are told apart."""
-    large = "+" if element.end - element.begin >= LARGE * total else ""
-    return (f"e:{element.tag}{large}", *(f"{n}{large}" for n in element.names))
+def around(element: Element) -> tuple[str, ...]:
+    """Features that an element gives to the blocks in it; one that holds a landmark is told apart."""
+    wraps = "+" if element.wraps else ""
+    return (f"e:{element.tag}{wraps}", *(f"{n}{wraps}" for n in element.names))
 
 
 def shape(block: Block, line: str) -> tuple[str, ...]:
@@ -204,7 +207,7 @@ class Weights:
     tag: float = -0.05
 
     def of(self, name: str) -> float:
-        """A feature's weight; a large element's is that of any element where none was learned for it."""
+        """A feature's weight; a wrapper's is that of any element where none was learned for it."""
         return self.features.get(name, self.features.get(name.rstrip("+"), 0.0))
 
     def of_terms(self, line: str) -> float:
@@ -214,8 +217,7 @@ class Weights:
 
 def block_scores(page: str, weights: Weights) -> tuple[list[str], list[float], list[Block]]:
     """Lines, the score of a word in each, and the blocks. What surrounds a block is summed as elements open and end."""
-    found, steps, _ = parse(page)
-    total = max(1, sum(b.words for b in found))
+    found, steps = parse(page)
     active: Counter[str] = Counter()
     lines, scores, at, context = [], [], 0, weights.features.get("bias", 0.0)
     for step, element in steps:
@@ -227,7 +229,7 @@ def block_scores(page: str, weights: Weights) -> tuple[list[str], list[float], l
             lines.append(line)
             scores.append(max(-4.0, min(4.0, context + own)))
             continue
-        for name in around(element, total):
+        for name in around(element):
             weight = weights.of(name)
             if not weight:
                 continue
@@ -248,13 +250,12 @@ def learn(labelled: list[tuple[str, str]], rounds: int = 800, rate: float = 1.0,
     tag_good, tag_bad = Counter(), Counter()
     for page, main in labelled:
         wanted = Counter(main.split("\n"))
-        found, steps, _ = parse(page)
-        total = max(1, sum(b.words for b in found))
+        found, steps = parse(page)
         active: Counter[str] = Counter()
         at = 0
         for step, element in steps:
             if element is not None:
-                for name in around(element, total):
+                for name in around(element):
                     active[name] += step
                 continue
             block = found[at]
@@ -265,7 +266,7 @@ def learn(labelled: list[tuple[str, str]], rounds: int = 800, rate: float = 1.0,
             hit = wanted[line] > 0
             wanted[line] -= hit
             terms = terms_of(line)
-            values = {f: 1.0 for f, n in active.items() if n > 0} | {f: 1.0 for f in shape(block, line)} | {f"t:{t}": 5 * n / len(terms) for t, n in Counter(terms).items()}
+            values = {f: 1.0 for f, n in active.items() if n > 0} | {f: 1.0 for f in shape(block, line)} | {f"t:{t}": TERM_SCALE * n / len(terms) for t, n in Counter(terms).items()}
             rows.append((values, int(hit)))
             seen.update(values)
             (tag_good if hit else tag_bad).update(t.lstrip("/") for t in block.opened)
@@ -281,33 +282,51 @@ def learn(labelled: list[tuple[str, str]], rounds: int = 800, rate: float = 1.0,
         speed = 0.9 * speed - rate * slope
         w += speed
     learned = {f: float(w[i]) for f, i in columns.items()}
-    terms = {f[2:]: 5 * v for f, v in learned.items() if f.startswith("t:")}
+    terms = {f[2:]: TERM_SCALE * v for f, v in learned.items() if f.startswith("t:")}
     odds = {t: math.log((tag_good[t] + 1) / (tag_bad[t] + 1)) for t in {*tag_good, *tag_bad}}
     tags = {t: max(-1.5, min(-0.25, v - 1.0)) / 6 for t, v in odds.items()}
-    return Weights({f: v for f, v in learned.items() if not f.startswith("t:")} , terms, tags)
+    return Weights({f: v for f, v in learned.items() if not f.startswith("t:")}, terms, tags)
+
 
+def best(scores: list[float], hole: float = HOLE) -> list[bool]:
+    """What stays of the range with the best total when runs inside it may be left out for ``hole`` each, by one scan.
 
-def best(scores: list[float]) -> tuple[int, int]:
-    """The range of the best total, by one scan: the first of equals, empty if no score is positive."""
-    top, begin, end, run, start = 0.0, 0, 0, 0.0, 0
+    Of equal choices the shorter one is taken; nothing stays if no score is positive.
+    """
+    top, at = 0.0, -1
+    inside, outside = -math.inf, -math.inf  # best totals that end here with this score taken, or in a hole
+    came: list[tuple[int, bool]] = []  # how each was reached: 0 begins here, 1 goes on, 2 ends a hole; a hole goes on
     for i, score in enumerate(scores):
-        if run <= 0:
-            run, start = 0.0, i
-        run += score
-        if run > top:
-            top, begin, end = run, start, i + 1
-    return begin, end
+        how, begin = 0, 0.0
+        if inside > begin:
+            how, begin = 1, inside
+        if outside > begin:
+            how, begin = 2, outside
+        on = outside >= inside - hole
+        came.append((how, on))
+        inside, outside = begin + score, outside if on else inside - hole
+        if inside > top:
+            top, at = inside, i
+    stays, taken = [False] * len(scores), True
+    while at >= 0:
+        how, on = came[at]
+        stays[at] = taken
+        if taken and how == 0:
+            break
+        taken = how == 1 if taken else not on
+        at -= 1
+    return stays
+
+
+def totals(scores: list[float], found: list[Block], weights: Weights) -> list[float]:
+    """What each block adds to a region: its words' scores and its tags'."""
+    return [score * block.words + sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.opened) for score, block in zip(scores, found)]
 
 
 def main_text(page: str, weights: Weights) -> str:
     """The page's main text: the best region's blocks in page order, one a line."""
     lines, scores, found = block_scores(page, weights)
-    totals = []
-    for block, score in zip(found, scores):
-        tags = sum(weights.tags.get(t.lstrip("/"), weights.tag) for t in block.opened)
-        totals.append(tags + max(FLOOR, score * block.words))
-    begin, end = best(totals)
-    return "\n".join(line for line, score in zip(lines[begin:end], scores[begin:end]) if line and score > KEEP)
+    return "\n".join(line for line, stays in zip(lines, best(totals(scores, found, weights))) if stays and line)
 
 
 @lru_cache(maxsize=1)

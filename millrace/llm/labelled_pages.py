@@ -38,6 +38,8 @@ PHRASES = {
     "comments": "Comments|3 comments|Reply|Leave a reply|Posted by {w} at 10:31|{s}|{s}|{s}".split("|"),
     "share": "Share this page with your friends|Share on|Tweet|Follow us|Print this page|E-mail this to a friend".split("|"),
 }
+#: Lines that end articles as well as pages.
+LEGAL = "All rights reserved.|Used by permission.|This work is in the public domain.|Licensed under the terms of an open licence.|Copyright by the author.".split("|")
 LOOSE = "copyright rights cookies comments reply share search related privacy subscribe advertisement news contact".split()
 
 
@@ -76,10 +78,10 @@ class Writer:
     def boilerplate(self, kind: str, bare: bool) -> str:
         """A part of the page that is no content; without names and telling elements if ``bare``."""
         r = self.r
-        count = {"menu": 6, "side": 4, "comments": 5, "foot": 2, "form": 3, "share": 2}.get(kind, 1)
-        own = 1.0 if bare else 0.4  # where names tell, the text often does not
+        count = {"menu": 6, "side": 8, "comments": 5, "foot": 2, "form": 3, "share": 2, "ad": 3, "notice": 3}.get(kind, 1)
+        own = 1.0 if bare else 0.25  # where names tell, the text often does not
         items = [self.phrase(kind) if r.random() < own else self.sentence(2, 20) for _ in range(r.randint(1, count))]
-        if kind in ("menu", "side", "share") and r.random() < 0.8:
+        if kind in ("menu", "side", "share") and r.random() < (0.8 if bare or kind == "menu" else 0.5):
             items = [f'<a href="/{i}">{t}</a>' for i, t in enumerate(items)]
         style = r.choice(("li", "p", "div", "flat"))
         inner = "<ul>" + "".join(f"<li>{t}</li>" for t in items) + "</ul>" if style == "li" else " ".join(items) if style == "flat" else "".join(f"<{style}>{t}</{style}>" for t in items)
@@ -98,17 +100,22 @@ class Writer:
         r = self.r
         title = self.sentence(2, 8).rstrip(".!?")
         pieces, lines = [], [title]
-        head = f"<h1>{title}</h1>" if r.random() < 0.8 else f"<h2>{title}</h2>"
-        if not bare and r.random() < 0.3:
+        how = r.random()
+        head = f"<h1>{title}</h1>" if how < 0.6 else f"<h2>{title}</h2>"
+        if how > 0.75:  # no heading, or none that is marked as one
+            head, lines = (f"<p>{title}</p>", lines) if how > 0.9 else ("", [])
+        elif not bare and r.random() < 0.3:
             head = f"<header>{head}</header>" if r.random() < 0.4 else f"<div{self.named(TITLES)}>{head}</div>"
-        pieces.append(head)
+        pieces.append(head or "<hr>")
         if r.random() < 0.3:
             lines.append(r.choice(("By {w}", "by {w} {w}", "May 2", "{w} 12, 2024", "{w}")).replace("{w}", self.word()))
             pieces.append(f"<{(tag := r.choice(('div', 'p')))}{'' if bare else self.named(METAS)}>{lines[-1]}</{tag}>")
         for _ in range(r.randint(2, 9)):
             kind = r.random()
             if kind < 0.7:
-                line = self.paragraph() if r.random() < 0.8 else self.sentence(1, 3)
+                line = self.paragraph() if r.random() < 0.75 else self.sentence(1, 3) if r.random() < 0.6 else self.word()
+                if not bare and r.random() < 0.1:  # articles have such lines of their own
+                    line = r.choice(LEGAL) if r.random() < 0.5 else self.phrase(r.choice(("foot", "share", "notice", "side")))
                 if r.random() < 0.25:
                     line = line.rstrip(".!?") + r.choice(("", ",", " |", "##", "..."))
                 form = r.random()
@@ -199,7 +206,7 @@ def plain_pages() -> list[tuple[str, str]]:
     return pages
 
 
-def labelled_pages(n: int = 800, seed: int = 11) -> list[tuple[str, str]]:
+def labelled_pages(n: int = 1600, seed: int = 11) -> list[tuple[str, str]]:
     """(page, its main text) of the plain pages and ``n`` generated ones."""
     writer = Writer(seed)
     return [*plain_pages() * 3, *(writer.page() for _ in range(n))]
