@@ -10,7 +10,7 @@ from importlib import import_module
 
 from millrace.plans.registry import ORACLE_SQL, QUERIES
 
-for _name in ("text", "dedup", "retrieval", "web", "telemetry", "graph", "relational", "window", "rag", "page", "recovery"):
+for _name in ("text", "dedup", "retrieval", "web", "telemetry", "graph", "relational", "window", "rag", "page", "recovery", "slo"):
     import_module(f"millrace.plans.{_name}_queries")
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
