@@ -26,13 +26,25 @@ def host_of(url: Column) -> Column:
 
 
 def entry_key(value: Column) -> Column:
-    """A list entry with its host in lower case; paths tell cases apart."""
-    return F.concat(F.lower(F.regexp_extract(value, "^[^/]*", 0)), F.regexp_extract(value, "(?s)/.*", 0))
+    """What a list entry stands for: its host, and its path's segments if it has any; null without a host.
+
+    Scheme, credentials, port, final dot, query and fragment do not count, nor do slashes that end the path or stand
+    double. Hosts are in lower case; paths tell cases apart.
+    """
+    url = F.when(value.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), value).otherwise(F.concat(F.lit("any://"), F.regexp_replace(value, "^//", "")))
+    parts = segments(F.regexp_extract(url, PATH, 1))
+    return F.when(F.size(parts) > 0, F.concat(host_of(url), F.lit("/"), F.array_join(parts, "/"))).otherwise(host_of(url))
+
+
+def void_entries(entries: DataFrame) -> DataFrame:
+    """The entries that can match nothing: without a host or a day."""
+    return entries.where(entry_key(F.trim("value")).isNull() | F.col("day").isNull())
 
 
 def intervals(entries: DataFrame) -> DataFrame:
     """value, since, until (null: still in force). Of a value's entries on one day the last by action stands, a removal over an addition."""
-    daily = entries.where("value is not null and day is not null").groupBy(entry_key(F.col("value")).alias("value"), "day").agg(F.max("action").alias("action"))
+    keyed = entries.select(entry_key(F.trim("value")).alias("value"), "day", "action").where("value is not null and day is not null")
+    daily = keyed.groupBy("value", "day").agg(F.max("action").alias("action"))
     following = F.lead("day").over(Window.partitionBy("value").orderBy("day"))
     return daily.withColumn("until", following).where("action = 'add'").select("value", F.col("day").alias("since"), "until")
 
@@ -60,7 +72,7 @@ def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """One row per distinct capture (page_id, url, day): with host, blocked, matched (the longest value in force, ties by value) and listed_since.
 
     A capture without an absolute URL or a day matches nothing and is not blocked. URLs of any length and depth are looked up
-    whole. Repeated captures count once; entries with a null value or day are void; without entries nothing is blocked; no captures give no rows; other
+    whole. Repeated captures count once; entries without a host or a day are void (``void_entries`` lists them); without entries nothing is blocked; no captures give no rows; other
     columns are ignored.
     """
     rows = captures.select("page_id", "url", "day").distinct().withColumn("host", host_of(F.col("url")))
@@ -89,7 +101,8 @@ def dated(pages: DataFrame) -> DataFrame:
 def example_list(pages: DataFrame) -> DataFrame:
     """A dated list from ``pages``: hosts, their registered domains, and hosts with one or two path segments.
 
-    A quarter of these values is added, later removed, and every other of them added again.
+    A quarter of these values is added, later removed, and every other of them added again. They are written in the
+    forms that lists use: plain, with a slash at the end, a scheme, a port, a final dot, or doubled slashes and a query.
     """
     url = F.col("url").cast("string")
     named = pages.select(host_of(url).alias("host"), segments(F.coalesce(F.regexp_extract(url, PATH, 1), F.lit(""))).alias("parts")).where("host is not null").distinct()
@@ -102,7 +115,10 @@ def example_list(pages: DataFrame) -> DataFrame:
     entry = lambda action, after: F.struct(F.lit(action).alias("action"), F.date_add(first, after).alias("day"))
     again = F.pmod(_number(F.col("value"), 19), F.lit(2)) == 0
     entries = F.array(entry("add", F.col("start")), entry("remove", F.col("start") + F.col("length")), F.when(again, entry("add", F.col("start") + F.col("length") + 60)))
-    return listed.select("value", F.inline(F.filter(entries, lambda e: e.isNotNull())))
+    host, rest = F.regexp_extract("value", "^[^/]*", 0), F.regexp_extract("value", "(?s)/.*", 0)
+    forms = [F.col("value"), F.concat("value", F.lit("/")), F.concat(F.lit("http://"), "value"), F.concat(host, F.lit(":8080"), rest), F.concat(host, F.lit("."), rest), F.concat(host, F.replace(rest, F.lit("/"), F.lit("//")), F.lit("?a=1"))]
+    written = F.element_at(F.array(*forms), (F.pmod(_number(F.col("value"), 25), F.lit(len(forms))) + 1).cast("int"))
+    return listed.select(written.alias("value"), F.inline(F.filter(entries, lambda e: e.isNotNull())))
 
 
 def filter_pages(pages: DataFrame) -> DataFrame:

@@ -265,3 +265,21 @@ def test_runs_of_texts(docs):
             if len(run) >= 5:
                 want[run] += 1
     assert dict(zip(found.field("values").to_pylist(), found.field("counts").to_pylist())) == want
+
+
+# list entries of the URL filter
+
+
+def test_entries_in_every_form_match(spark):
+    from millrace.llm import url_filter
+
+    entries = ["ok.org/ads/", "slash.org/", "http://sch.org", "dot.org.", "port.org:8080", "q.org/a?x=1", "dbl.org//x", "HTTPS://User:pw@Up.org/Ads#top", "[2001:DB8::1]:80/a", "//lead.org", " space.org "]
+    void = ["", "/path/only", "http://", None]
+    rows = [(v, "add", "2024-01-01") for v in entries + void] + [("undated.org", "add", None)]
+    listed = spark.createDataFrame(rows, "value string, action string, day string").withColumn("day", url_filter.F.col("day").cast("date"))
+    urls = ["http://ok.org/ads/1", "http://slash.org/x", "https://sub.sch.org/", "http://dot.org/", "http://port.org/", "http://q.org/a/b", "http://dbl.org/x/y", "http://up.org/Ads", "http://[2001:db8::1]/a", "http://lead.org", "http://space.org"]
+    clear = ["http://ok.org/other", "http://q.org/b", "http://up.org/ads", "http://undated.org/", "http://path/only"]
+    pages = spark.createDataFrame([(i, u, "2024-02-01") for i, u in enumerate(urls + clear)], "page_id long, url string, day string").withColumn("day", url_filter.F.col("day").cast("date"))
+    blocked = {r["url"] for r in url_filter.evaluate(pages, listed).collect() if r["blocked"]}
+    assert blocked == set(urls)
+    assert {r["value"] for r in url_filter.void_entries(listed).collect()} == {*void, "undated.org"}
