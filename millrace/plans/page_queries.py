@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import metadata as M
+from millrace.functions.nodes import Rule, extract_all, page_nodes
 from millrace.plans.registry import query, table
 
 #: Pages with heads of five kinds, in words that both engines understand: none; named tags; cards; one JSON-LD object and a broken one; graphs, lists and repeated tags.
@@ -97,3 +98,17 @@ def page_metadata(spark, sf_dir):
         F.size("m.links").alias("links"), F.coalesce(F.get(F.col("m.links"), F.lit(0))["href"], F.lit("")).alias("first_link"),
         M.best(F.col("m"), "title").alias("best_title"), M.best(F.col("m"), "image").alias("best_image"),
     )
+
+
+RULES = [
+    Rule("heading", "article h1, main h1, h1"), Rule("menu", "nav a", multiple=True), Rule("targets", "nav > ul > li a[href^='/']", attribute="href", multiple=True),
+    Rule("language", "html", attribute="lang", default="none"), Rule("first_word", "article p", pattern=r"^(\w+)"), Rule("notices", "div.ad, .cookie-notice, aside", multiple=True),
+    Rule("charset", "meta[charset]", attribute="charset"), Rule("footer", "footer", default=""), Rule("capitals", "p", pattern="[A-Z]{2,}", multiple=True),
+]
+
+
+@query("page_rules")
+def page_rules(spark, sf_dir):
+    """Values of every page by selectors, attributes and patterns."""
+    nodes = table(spark, sf_dir, "pages").select("page_id", page_nodes("html").alias("nodes"))
+    return nodes.select("page_id", F.size("nodes").alias("n_nodes"), *extract_all(F.col("nodes"), RULES))
