@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import metadata as M
 from millrace.functions.nodes import Rule, extract_all, page_nodes
+from millrace.functions.schema import by_schema
 from millrace.plans.registry import query, table
 
 #: Pages with heads of five kinds, in words that both engines understand: none; named tags; cards; one JSON-LD object and a broken one; graphs, lists and repeated tags.
@@ -112,3 +113,15 @@ def page_rules(spark, sf_dir):
     """Values of every page by selectors, attributes and patterns."""
     nodes = table(spark, sf_dir, "pages").select("page_id", page_nodes("html").alias("nodes"))
     return nodes.select("page_id", F.size("nodes").alias("n_nodes"), *extract_all(F.col("nodes"), RULES))
+
+
+SCHEMA = {"properties": {"title": {"type": "string"}, "description": {}, "author": {}, "keywords": {}, "image": {}, "date": {}, "n": {"type": "integer"}, "missing": {}}}
+
+
+@query("schema_fields")
+def schema_fields(spark, sf_dir):
+    """Eight fields of every page, with the head that its id gives it, and where they came from."""
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    f = by_schema(spark.sql(HEADED), SCHEMA)
+    names = list(SCHEMA["properties"])
+    return f.select("page_id", *[F.col("data")[n].alias(n) for n in names], *[F.col("sources")[n].alias(f"{n}_source") for n in names], F.size("missing").alias("n_missing"))
