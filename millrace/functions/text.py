@@ -29,9 +29,13 @@ def text_or_empty(t: Column) -> Column:
     return F.coalesce(t, F.lit(""))
 
 
+#: White space as Unicode has it.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(t: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
+    """Without white space at both ends: only these are looked at, whatever the text's length."""
+    return F.btrim(t, F.lit(SPACES))
 
 
 def remove_tags(t: Column) -> Column:
