@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.passages import WS, let, strip
+from millrace.functions.passages import BLANK, let, strip
 
 NODE = "struct<node: int, last: int, parent: int, tag: string, id: string, classes: array<string>, attributes: map<string,string>, text: string>"
 #: What a text node is called.
@@ -143,7 +143,7 @@ def _meets(node: Column, want: Compound) -> Column:
     for name, how, value in want.attributes:
         has = node["attributes"][name]
         test = {
-            None: lambda: has.isNotNull(), "=": lambda: has == value, "~=": lambda: F.array_contains(F.split(has, WS + "+"), value), "^=": lambda: has.startswith(value),
+            None: lambda: has.isNotNull(), "=": lambda: has == value, "~=": lambda: F.array_contains(F.split(has, BLANK), value), "^=": lambda: has.startswith(value),
             "$=": lambda: has.endswith(value), "*=": lambda: has.contains(value), "|=": lambda: (has == value) | has.startswith(value + "-"),
         }[how]()
         holds = holds & F.coalesce(test, F.lit(False)) & F.lit(value != "" or how in (None, "=", "|="))

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 #: White space as Unicode has it.
 WS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-SENTENCE_END = "(?<=[.!?。！？])" + WS + "+"
+SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+#: The same for Java's expressions, where one test of a character takes the place of twelve.
+BLANK = r"(?U)[\s\x1c-\x1f]+"
+SENTENCE_END = r"(?U)(?<=[.!?。！？])[\s\x1c-\x1f]+"
 
 # Words that tell passages apart badly, the marks that are trimmed from tokens, and the words that a rewritten query drops.
 STOP_WORDS = """
@@ -22,8 +25,6 @@ TRIMMED_QUERY = ".,;:!?"
 DROPPED = "the a an is are was were be been".split()
 PATTERNS = ("how to", "what is", "why", "best", "vs")
 
-_MARKS = r"[.,;:!?()\[\]{}<>\"'`*_#\-$%\^&+=|~]"
-_QUERY_MARKS = "[.,;:!?]"
 TOKENS_A_WORD = 1.3
 
 
@@ -33,28 +34,28 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def words(text: Column) -> Column:
     """Maximal runs without white space."""
-    return F.filter(F.split(text, WS + "+"), lambda w: w != "")
+    return F.filter(F.split(text, BLANK), lambda w: w != "")
 
 
 def _trimmed(tokens: Column, marks: str) -> Column:
-    return F.transform(tokens, lambda w: F.regexp_replace(w, f"^{marks}+|{marks}+$", ""))
+    return F.transform(tokens, lambda w: F.btrim(w, F.lit(marks)))
 
 
 def content_terms(text: Column) -> Column:
     """Distinct lower-case tokens without marks around them, of two characters or more, without stop words; null text has none."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    tokens = _trimmed(words(F.lower(F.coalesce(text, F.lit("")))), _MARKS)
+    tokens = _trimmed(words(F.lower(F.coalesce(text, F.lit("")))), TRIMMED)
     return F.array_except(F.array_distinct(F.filter(tokens, lambda w: F.length(w) >= 2)), stop)
 
 
 def query_terms(query: Column) -> Column:
     """Content terms, or all tokens if the query has stop words only."""
-    raw = F.array_distinct(F.filter(_trimmed(words(F.lower(F.coalesce(query, F.lit("")))), _QUERY_MARKS), lambda w: w != ""))
+    raw = F.array_distinct(F.filter(_trimmed(words(F.lower(F.coalesce(query, F.lit("")))), TRIMMED_QUERY), lambda w: w != ""))
     return let(content_terms(query), lambda t: F.when(F.size(t) > 0, t).otherwise(raw))
 
 
