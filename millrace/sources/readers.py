@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -28,11 +29,20 @@ def _child(node: ET.Element, *names: str) -> str | None:
     return None
 
 
-def parse_feed(text: str) -> list[tuple]:
-    """(kind, feed title, title, link, published, summary) of RSS 2.0, RDF and Atom entries; malformed text has none."""
+def _root(text: str) -> ET.Element | None:
+    """A document's root; none of malformed text, nor of one that declares a document type, which could expand without bound."""
+    if re.search(r"<!(DOCTYPE|ENTITY)", text, re.I):
+        return None
     try:
-        root = ET.fromstring(text.strip())
+        return ET.fromstring(text.strip())
     except ET.ParseError:
+        return None
+
+
+def parse_feed(text: str) -> list[tuple]:
+    """(kind, feed title, title, link, published, summary) of RSS 2.0, RDF and Atom entries; malformed text and text with a DTD has none."""
+    root = _root(text)
+    if root is None:
         return []
     kind = {"rss": "rss", "rdf": "rdf", "feed": "atom"}.get(_plain(root.tag))
     if kind is None:
@@ -43,10 +53,9 @@ def parse_feed(text: str) -> list[tuple]:
 
 
 def parse_sitemap(text: str) -> list[tuple]:
-    """(url, lastmod, changefreq, priority, is_index) of a sitemap or an index of them; a bad priority is null."""
-    try:
-        root = ET.fromstring(text.strip())
-    except ET.ParseError:
+    """(url, lastmod, changefreq, priority, is_index) of a sitemap or an index of them; a bad priority is null; malformed text and text with a DTD has none."""
+    root = _root(text)
+    if root is None:
         return []
 
     def number(x: str | None) -> float | None:
@@ -79,8 +88,8 @@ def read_sitemaps(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
-    """Every live_report.json under a path with the file it came from; corrupt files give nulls."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "live_report.json").option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_path"))
+    """Every live_report.json under a path with the file it came from; corrupt files are left out."""
+    return spark.read.option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).option("pathGlobFilter", "live_report.json").option("multiLine", True).json(path).withColumn("source_file", F.col("_metadata.file_path"))
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:

@@ -22,6 +22,23 @@ def test_feeds_and_sitemaps(spark, tmp_path):
     assert R.read_sitemaps(spark, str(tmp_path / "s")).count() == 1
 
 
+def test_document_types_are_refused(spark, tmp_path):
+    bomb = "<!DOCTYPE a [<!ENTITY x 'ha'><!ENTITY y '&x;&x;'>]>"
+    (tmp_path / "a.xml").write_text(f"{bomb}<rss version='2.0'><channel><title>&y;</title><item><title>One</title><link>http://x.org/1</link></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("<rss version='2.0'><channel><title>T</title><item><title>Two</title><link>http://x.org/2</link></item></channel></rss>")
+    assert [r.title for r in R.read_feeds(spark, str(tmp_path)).collect()] == ["Two"]
+    assert R.parse_sitemap(f"{bomb}<urlset><url><loc>http://x.org/</loc></url></urlset>") == [] == R.parse_sitemap("<urlset")
+
+
+def test_reports_skip_corrupt_files(spark, tmp_path):
+    for name, text in (("a", '{"n": 1,\n "search": {"count": 2}}'), ("b", '{"n": 2'), ("c", '{"n": 3}')):
+        (tmp_path / "deep" / name).mkdir(parents=True)
+        (tmp_path / "deep" / name / "live_report.json").write_text(text)
+    (tmp_path / "deep" / "other.json").write_text('{"n": 9}')
+    rows = R.read_reports(spark, str(tmp_path)).select("n", "source_file").collect()
+    assert sorted((r.n, r.source_file.split("/")[-2]) for r in rows) == [(1, "a"), (3, "c")]
+
+
 def test_observations_take_defaults(spark, tmp_path):
     (tmp_path / "o.jsonl").write_text('{"case_id": "001:docs", "arm": "a", "ok": true, "returned_chars": 5}\n{"case_id": "001:docs", "arm": "b"}\n')
     rows = {r.arm: r for r in R.read_observations(spark, str(tmp_path)).collect()}
@@ -59,6 +76,13 @@ def test_change_stream(spark, tmp_path):
     assert sorted((r.url, r.version, r.baseline) for r in got) == [("u", 0, True), ("u", 1, False), ("v", 0, True)]
 
 
+def test_first_seen_stream(spark, tmp_path):
+    at = lambda h: dt.datetime(2024, 1, 1 + h // 24, h % 24)
+    rows = [("a", at(0), 1), ("b", at(1), 2), ("a", at(2), 3), (None, at(3), 4), (None, at(4), 5), ("c", at(5), 6)]
+    got = stream(spark, spark.createDataFrame(rows, "k string, ts timestamp, n int").coalesce(1), tmp_path, "seen_log", lambda s: M.first_seen(s, ["k"], "ts"))
+    assert sorted(r.k or "" for r in got) == ["", "a", "b", "c"]
+
+
 def test_circuit_breaker_stream(spark, tmp_path):
     rows = [("x", float(i), False) for i in range(5)] + [("x", 30.0, True), ("x", 70.0, False), ("x", 140.0, True)]
     got = stream(spark, spark.createDataFrame(rows, "backend string, at double, ok boolean"), tmp_path, "breaker_log", M.circuit_breaker)
