@@ -52,7 +52,7 @@ def small():
 
 def test_oracles(spark):
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in ORACLE_SQL.items():
         df = QUERIES[name](spark, DATA)
