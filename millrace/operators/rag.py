@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import passages as P
-from millrace.operators.retrieval import top, top_matches
+from millrace.operators.retrieval import best_matches, blocks_of, only_asked, top, vocabulary
 from millrace.storage import written
 
 BUDGET = 2000
@@ -19,26 +19,29 @@ def prepare(docs: DataFrame, most: int = 500, overlap: int = 50) -> DataFrame:
 
 
 def best_chunks(chunks: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """query_id, item (doc_id and chunk), score, rank: the k chunks that hold the largest weighted share of a query's terms.
+    """query_id, doc_id, chunk, score, rank: the k chunks that hold the largest weighted share of a query's terms.
 
     A term weighs ln((n + 1) / (df + 1)) + 1 over all chunks. Equal scores go by document and chunk; a query that
     fewer than k chunks match is filled up with the first chunks of all, at a score of 0.
     """
-    item = F.struct("doc_id", "chunk").alias("item")
-    terms = asked.select("query_id", F.explode("terms").alias("term"))
-    postings = chunks.select(item, F.explode(P.content_terms(F.col("text"))).alias("term")).join(terms.select("term").distinct(), "term", "left_semi").withColumn("part", F.lit(1.0))
-    postings = written(postings, "postings")
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    item = ["doc_id", "chunk"]
+    terms = written(asked.select("query_id", F.explode("terms").alias("term")), "asked")
     total = chunks.agg(F.count(F.lit(1)).alias("n"))
-    weighed = terms.join(df, "term", "left").join(F.broadcast(total)).select("query_id", "term", (F.log((F.col("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("w"))
-    sums = weighed.groupBy("query_id").agg(F.sum("w").alias("sum"))
-    shares = weighed.join(sums, "query_id").select("query_id", "term", (F.col("w") / F.col("sum")).alias("weight"))
-    found = written(top_matches(shares, postings, k, "item", digits=4), "found")
+    found = asked.select("query_id").join(chunks.select(*item).limit(0)).select("query_id", *item, F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    for some in blocks_of(terms):
+        held = written(only_asked(chunks.select(*item, P.content_terms(F.col("text")).alias("terms")), vocabulary(some)), "held")
+        df = held.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        weighed = some.join(df, "term", "left").join(F.broadcast(total)).select("query_id", "term", (F.log((F.col("n") + 1.0) / (F.coalesce("df", F.lit(0)) + 1.0)) + 1.0).alias("w"))
+        weighed = written(weighed, "weighed")
+        sums = weighed.groupBy("query_id").agg(F.sum("w").alias("sum"))
+        shares = weighed.join(sums, "query_id").select("query_id", "term", (F.col("w") / F.col("sum")).alias("weight"))
+        found = found.unionByName(best_matches(shares, held, k, item, digits=4))
+    found = written(found, "found")
     # k matches at most stand among the first 2 k chunks, so k of these are left to fill up with
-    first = chunks.select(item).orderBy("item").limit(2 * k).agg(F.collect_list("item").alias("items"))
+    first = chunks.select(F.struct(*item).alias("item")).orderBy("item").limit(2 * k).agg(F.collect_list("item").alias("items"))
     lacking = asked.select("query_id").join(found.where(F.col("rank") == k).select("query_id"), "query_id", "left_anti")
-    fill = lacking.join(F.broadcast(first)).select("query_id", F.explode("items").alias("item")).join(found.select("query_id", "item"), ["query_id", "item"], "left_anti")
-    return top(found.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0))), "query_id", "score", "item", k)
+    fill = lacking.join(F.broadcast(first)).select("query_id", F.inline("items")).join(found.select("query_id", *item), ["query_id", *item], "left_anti")
+    return top(found.drop("rank").unionByName(fill.withColumn("score", F.lit(0.0))), "query_id", "score", item, k)
 
 
 def compressed(items: Column, terms: Column, budget: float) -> Column:
@@ -82,7 +85,7 @@ def rag_context(chunks: DataFrame, queries: DataFrame, k: int = 5, budget: float
     """
     asked = queries.select("query_id", P.rewritten_query(F.col("query")).alias("r"))
     asked = asked.select("query_id", F.when(F.col("r.changed"), F.col("r.query")).alias("rewritten_query"), P.query_terms(F.col("r.query")).alias("terms"))
-    found = best_chunks(chunks, asked, k).select("query_id", "rank", "item.doc_id", "item.chunk")
+    found = best_chunks(chunks, asked, k).select("query_id", "rank", "doc_id", "chunk")
     rows = found.join(chunks.select("doc_id", "chunk", "text", "words"), ["doc_id", "chunk"]).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "chunk", "text", "words"))).alias("items"))
     out = rows.join(asked, "query_id").select("query_id", "rewritten_query", compressed(F.col("items"), F.col("terms"), budget).alias("c"))
     used = F.array_join(F.transform("c.used", lambda x: F.concat(x["doc_id"].cast("string"), F.lit(":"), x["chunk"].cast("string"))), ",")

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import passages as P
-from millrace.operators import rag
+from millrace.operators import rag, retrieval
 from millrace.operators.retrieval import top_matches
 from millrace.storage import written
 
@@ -148,6 +148,24 @@ def test_pruned_search_by_all_pairs(spark, seed):
         assert [g[0] for g in got] == [d for _, d in want] and [g[1] for g in got] == pytest.approx([-s for s, _ in want], abs=2e-6)
 
 
+def test_context_search_writes_no_pairs(spark, tmp_path, monkeypatch):
+    """30 queries share every word with 40 documents: what is written grows with the chunks, not with queries times chunks."""
+    sizes = []
+
+    def spied(df, tag):
+        out = written(df, tag)
+        sizes.append((tag, out.count()))
+        return out
+
+    monkeypatch.setattr(rag, "written", spied)
+    monkeypatch.setattr(retrieval, "written", spied)
+    chunks = written(rag.prepare(spark.createDataFrame([(i, "salt marsh water margin tide") for i in range(40)], "doc_id long, text string"), 40, 10), "chunks")
+    asked = spark.createDataFrame([(i, "salt marsh water margin tide") for i in range(30)], "query_id long, query string")
+    rows = rag.rag_context(chunks, asked, k=2).collect()
+    assert len(rows) == 30 and {r["used"] for r in rows} == {"0:0,1:0"} and {r["retrieval_score"] for r in rows} == {1.0}
+    assert max(n for _, n in sizes) <= 30 * 5, sizes
+
+
 def test_shared_folder_without_a_setting(tmp_path):
     code = """
 from pyspark.sql import SparkSession
