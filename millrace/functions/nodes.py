@@ -8,7 +8,7 @@ and without a shuffle. Only the parsing runs in Python; it keeps a stack and loo
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
 
@@ -73,9 +73,27 @@ class _Nodes(HTMLParser):
         return self.found
 
 
+#: Characters of pages that are parsed at once: their nodes take many times as much memory, whatever a batch holds.
+AT_ONCE = 200_000
+
+
+def a_few(values: Iterable, size: Callable[[object], int]) -> Iterator[list]:
+    """Consecutive values in lists of about AT_ONCE, or of one larger value."""
+    some, held = [], 0
+    for value in values:
+        some.append(value)
+        held += size(value)
+        if held >= AT_ONCE or len(some) >= 1000:
+            yield some
+            some, held = [], 0
+    if some:
+        yield some
+
+
 def _parse(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in pages:
-        yield pd.Series([_Nodes().nodes(p) if p else [] for p in series], dtype=object)
+        for some in a_few(series, lambda p: len(p or "")):
+            yield pd.Series([_Nodes().nodes(p) if p else [] for p in some], dtype=object)
 
 
 def page_nodes(html: Column | str) -> Column:

@@ -6,6 +6,7 @@ import re
 from html.parser import HTMLParser
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -137,3 +138,13 @@ def test_pages_without_nodes_and_long_ones(spark):
 def test_selectors_that_cannot_be_read(selector):
     with pytest.raises(ValueError):
         N.parse_selector(selector)
+
+
+def test_nodes_of_a_large_batch_come_a_few_pages_at_a_time():
+    pages = pd.Series([None, "", *["<p>" + "<b>x</b>" * 500] * 2000, "<i>" * 400_000])
+    sizes, at = [], 0
+    for some in N._parse(iter([pages])):
+        sizes.append(sum(len(p or "") for p in pages[at : at + len(some)]))
+        at += len(some)
+        assert len(some) == 1 or sizes[-1] < 250_000
+    assert at == len(pages) and len(sizes) > 30
