@@ -66,7 +66,8 @@ def _flat(texts: list[str]) -> dict[str, str]:
 
 def _flats(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for series in lists:
-        yield pd.Series([_flat(list(x)) if x is not None else {} for x in series], dtype=object)
+        for some in N.a_few(series, lambda x: sum(map(len, x)) if x is not None else 0):
+            yield pd.Series([_flat(list(x)) if x is not None else {} for x in some], dtype=object)
 
 
 def structured(html: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 import pytest
 
 from millrace.functions import schema as S
@@ -80,3 +81,10 @@ def test_fields_of_every_page(spark):
         assert r["keywords"] == {1: f"one, two ,,p{i}", 4: f"t{i}"}.get(kind) and r["missing"] is None
         assert (r["description"], r["description_source"]) == (f"About page {i} & more", "meta") if kind == 1 else r["description_source"] in ("semantic-html", "")
         assert r["image_source"] == ("meta" if kind == 2 else "")
+
+
+def test_structured_data_of_a_large_batch_comes_a_few_pages_at_a_time():
+    lists = pd.Series([['{"name": "' + "n" * 2000 + '"}', "{"], None, []] * 1000)
+    parts = list(S._flats(iter([lists])))
+    assert sum(map(len, parts)) == 3000 and max(map(len, parts)) < 1000
+    assert [dict(x) for x in pd.concat(parts)[:3]] == [{"name": "n" * 2000}, {}, {}]
