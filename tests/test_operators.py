@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import tracemalloc
 from collections import Counter
@@ -134,3 +135,17 @@ def test_vector_search_keeps_few_cells_and_the_best_of_all_batches():
     near = np.round(unit[:300] @ unit.T, 6)
     want = [(q, int(v), near[q, v]) for q in range(300) for v in np.lexsort((np.arange(12_000), -near[q]))[:4] if near[q, v] >= 0.5]
     assert [(r["query_id"], r["vec_id"]) for r in found.to_pylist()] == [w[:2] for w in want]
+
+
+def test_simhash_of_a_batch_looks_at_a_few_lists_at_a_time():
+    rng = np.random.default_rng(3)
+    lists = [None, [], *[[f"w{i}" for i in rng.integers(0, 500, n)] for n in (1, 2, 50, 45_000, 1)], [], *[[f"w{i}" for i in rng.integers(0, 500, 400)] for _ in range(600)]]
+    words = pa.array(lists, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = D.simhash.func(words).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 25e6, peak
+    for ws, fp in zip(lists, got):
+        sums = [sum(n * (1 if int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) >> i & 1 else -1) for w, n in Counter(ws or []).items()) for i in range(64)]
+        assert fp & (1 << 64) - 1 == sum(1 << i for i, s in enumerate(sums) if s > 0)
