@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.passages import let
+
 # Fixed values.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&#x2F;", "/"))
 URLS = r"https?://\S+|www\.\S+"
@@ -75,10 +77,11 @@ def pieces(t: Column, pattern: str) -> Column:
 
 
 def readable_ratio(t: Column) -> Column:
-    """Share of letters, digits, punctuation and white space; 0 for the empty text."""
+    """Share of letters, digits, punctuation and white space; 0 for the empty text. Printable ASCII, all of it readable, is taken out by a cheap pattern first."""
     n = F.length(t)
-    good = F.length(F.regexp_replace(t, rf"(?U)[^\p{{L}}\p{{N}}!-/:-@\[-`{{-~ \t\n\r{CJK_PUNCTUATION}]", ""))
-    return F.when(n > 0, good / n).otherwise(0.0)
+    rest = F.regexp_replace(t, r"[ -~\t\n\r]+", "")
+    bad = F.length(F.regexp_replace(rest, rf"(?U)[\p{{L}}\p{{N}}{CJK_PUNCTUATION}]+", ""))
+    return F.when(n > 0, (n - bad) / n).otherwise(0.0)
 
 
 def cjk_count(t: Column) -> Column:
@@ -92,18 +95,28 @@ def sentence_floor(t: Column) -> Column:
 
 
 def assessment(t: Column) -> Column:
-    """Struct of grade (empty, garbled, thin, usable), chars, sentences and avg_sentence_chars of a text's shape."""
-    body = strip(text_or_empty(t))
-    n = F.length(body)
-    parts = pieces(body, SENTENCE_ENDS)
-    count = F.size(parts)
-    total = F.aggregate(parts, F.lit(0), lambda s, x: s + F.length(x))
-    mean = F.when(count > 0, total / count).otherwise(0.0)
-    grade = (
-        F.when(n < 200, "empty").when(readable_ratio(body) < 0.85, "garbled").when(F.regexp_count(body, F.lit(STRUCTURAL_TAGS)) >= 2, "thin").when(n >= 2000, "usable").when(mean >= sentence_floor(body), "usable").otherwise("thin")
-    )
-    measured = (n >= 200) & (readable_ratio(body) >= 0.85) & (F.regexp_count(body, F.lit(STRUCTURAL_TAGS)) < 2)
-    return F.struct(grade.alias("grade"), n.alias("chars"), F.when(measured, count).otherwise(0).alias("sentences"), F.when(measured, mean).otherwise(0.0).alias("avg_sentence_chars"))
+    """Struct of grade (empty, garbled, thin, usable), chars, sentences and avg_sentence_chars of a text's shape.
+
+    Each measure is taken once, and only of texts that those before have not settled.
+    """
+
+    def graded(body: Column, m: Column, s: Column) -> Column:
+        mean = F.when(s["count"] > 0, s["total"] / s["count"]).otherwise(0.0)
+        grade = F.when(m["chars"] < 200, "empty").when(m["readable"] < 0.85, "garbled").when(m["tags"] >= 2, "thin").when(m["chars"] >= 2000, "usable").when(mean >= sentence_floor(body), "usable").otherwise("thin")
+        return F.struct(grade.alias("grade"), m["chars"].alias("chars"), s["count"].alias("sentences"), mean.alias("avg_sentence_chars"))
+
+    def shaped(body: Column, m: Column) -> Column:
+        lengths = F.when(m["tags"] < 2, F.transform(pieces(body, SENTENCE_ENDS), F.length)).otherwise(F.array().cast("array<int>"))
+        sums = let(lengths, lambda x: F.struct(F.size(x).alias("count"), F.aggregate(x, F.lit(0), lambda a, n: a + n).alias("total")))
+        return let(sums, lambda s: graded(body, m, s))
+
+    def measured(body: Column) -> Column:
+        chars = F.length(body)
+        readable = F.struct(chars.alias("chars"), F.when(chars >= 200, readable_ratio(body)).otherwise(0.0).alias("readable"))
+        tags = lambda m: F.when(m["readable"] >= 0.85, F.regexp_count(body, F.lit(STRUCTURAL_TAGS))).otherwise(2)
+        return let(let(readable, lambda m: F.struct(m["chars"].alias("chars"), m["readable"].alias("readable"), tags(m).alias("tags"))), lambda m: shaped(body, m))
+
+    return let(strip(text_or_empty(t)), measured)
 
 
 def word_count(t: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import tracemalloc
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -149,3 +150,14 @@ def test_simhash_of_a_batch_looks_at_a_few_lists_at_a_time():
     for ws, fp in zip(lists, got):
         sums = [sum(n * (1 if int.from_bytes(hashlib.md5(w.encode()).digest()[:8]) >> i & 1 else -1) for w, n in Counter(ws or []).items()) for i in range(64)]
         assert fp & (1 << 64) - 1 == sum(1 << i for i, s in enumerate(sums) if s > 0)
+
+
+def test_assessment_takes_each_measure_once(spark):
+    plan = spark.createDataFrame([("x",)], "x string").select(F.inline(F.array(T.assessment(F.col("x")))))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_count") + plan.count("RegExpCount") <= 2 and plan.count("split(") == 1  # tags and CJK once each
+
+
+@pytest.mark.parametrize("text", ["", "plain, (ASCII) ~ text\n", "é ñ 中。٣ \u0001\x7f\x85\u00a0\ufffd", "\u200b\u0300e\u0300", "😀a😀"])
+def test_readable_share_by_hand(spark, text):
+    good = sum(unicodedata.category(c)[0] in "LN" or " " <= c <= "~" or c in "\t\n\r" or c in T.CJK_PUNCTUATION for c in text)
+    assert one(spark, T.readable_ratio, text) == (good / len(text) if text else 0)
