@@ -96,10 +96,8 @@ SELECT doc_id, term, times, round(100.0::DOUBLE * times / total, 2) AS density F
 """)
 def keyword_density(spark, sf_dir):
     w = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"(?U)\b\w+\b"), F.lit(0)), lambda x: F.length(x) > 2)
-    toks = table(spark, sf_dir, "documents").select("doc_id", w.alias("w")).select("doc_id", F.size("w").alias("total"), F.posexplode("w").alias("at", "term"))
-    c = toks.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("times"), F.min("at").alias("first"), F.min("total").alias("total"))
-    order = Window.partitionBy("doc_id").orderBy(F.col("times").desc(), "first")
-    return c.withColumn("r", F.row_number().over(order)).where("r <= 20").select("doc_id", "term", "times", F.round(100.0 * F.col("times") / F.col("total"), 2).alias("density"))
+    c = R.keyword_density(table(spark, sf_dir, "documents").select("doc_id", w.alias("w")), "w")
+    return c.select("doc_id", "term", "times", F.round(100.0 * F.col("times") / F.col("total"), 2).alias("density"))
 
 
 @query("rerank_terms", rf"""

@@ -161,3 +161,12 @@ def test_assessment_takes_each_measure_once(spark):
 def test_readable_share_by_hand(spark, text):
     good = sum(unicodedata.category(c)[0] in "LN" or " " <= c <= "~" or c in "\t\n\r" or c in T.CJK_PUNCTUATION for c in text)
     assert one(spark, T.readable_ratio, text) == (good / len(text) if text else 0)
+
+
+def test_keyword_density_shuffles_nothing(spark, tmp_path):
+    texts = {1: "Sea sea the the the bar bar of of of of", 2: None, 3: "of it", 4: " ".join(f"word{i:02}" for i in range(30)) + " word29"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["keyword_density"](spark, str(tmp_path))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.doc_id, r.term, r.times, r.density) for r in df.collect()}
+    assert got == {(1, "the", 3, 42.86), (1, "sea", 2, 28.57), (1, "bar", 2, 28.57), (4, "word29", 2, 6.45), *((4, f"word{i:02}", 1, 3.23) for i in range(19))}
